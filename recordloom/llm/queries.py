@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from . import bpe, exact_dedup, warc
+from . import bpe, decontaminate, exact_dedup, language_id, warc
 
 
 def queries() -> dict:
     return {
+        "op2_language_id": language_id.op2_language_id,
         "op5_exact_dedup": exact_dedup.op5_exact_dedup,
+        "op7_decontaminate": decontaminate.op7_decontaminate,
         "op9_bpe": bpe.op9_bpe,
         "op10_warc": warc.op10_warc,
     }
