@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import bpe, decontaminate, exact_dedup, language_id, warc
+from . import bpe, decontaminate, exact_dedup, language_id, minhash, warc
 
 
 def queries() -> dict:
     return {
+        "op1_minhash": minhash.op1_minhash,
         "op2_language_id": language_id.op2_language_id,
         "op5_exact_dedup": exact_dedup.op5_exact_dedup,
         "op7_decontaminate": decontaminate.op7_decontaminate,
