@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import bpe, decontaminate, exact_dedup, language_id, minhash, warc
+from . import bpe, decontaminate, exact_dedup, language_id, minhash, substring_dedup, warc
 
 
 def queries() -> dict:
     return {
         "op1_minhash": minhash.op1_minhash,
         "op2_language_id": language_id.op2_language_id,
+        "op4_substring_dedup": substring_dedup.op4_substring_dedup,
         "op5_exact_dedup": exact_dedup.op5_exact_dedup,
         "op7_decontaminate": decontaminate.op7_decontaminate,
         "op9_bpe": bpe.op9_bpe,
