@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, decontaminate, exact_dedup, language_id, minhash, substring_dedup, warc
+from . import bpe, decontaminate, exact_dedup, html_extract, language_id, minhash, substring_dedup, warc
 
 
 def queries() -> dict:
@@ -11,6 +11,7 @@ def queries() -> dict:
         "op2_language_id": language_id.op2_language_id,
         "op4_substring_dedup": substring_dedup.op4_substring_dedup,
         "op5_exact_dedup": exact_dedup.op5_exact_dedup,
+        "op6_html_extract": html_extract.op6_html_extract,
         "op7_decontaminate": decontaminate.op7_decontaminate,
         "op9_bpe": bpe.op9_bpe,
         "op10_warc": warc.op10_warc,
