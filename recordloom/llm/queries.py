@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, decontaminate, exact_dedup, html_extract, language_id, minhash, substring_dedup, warc
+from . import bpe, decontaminate, exact_dedup, html_extract, language_id, minhash, quality, substring_dedup, warc
 
 
 def queries() -> dict:
@@ -13,6 +13,7 @@ def queries() -> dict:
         "op5_exact_dedup": exact_dedup.op5_exact_dedup,
         "op6_html_extract": html_extract.op6_html_extract,
         "op7_decontaminate": decontaminate.op7_decontaminate,
+        "op8_quality": quality.op8_quality,
         "op9_bpe": bpe.op9_bpe,
         "op10_warc": warc.op10_warc,
     }
