@@ -14,6 +14,7 @@ from __future__ import annotations
 import base64
 import functools
 import hashlib
+import itertools
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -194,8 +195,8 @@ def decode(docs: DataFrame, path: str, pattern: str, ids: str = OWN + "ids") ->
     return kept.mapInArrow(run, schema)
 
 
-def digests(docs: DataFrame, path: str, pattern: str, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """doc_id, n_tokens, ids_sha256 and decoded_sha256 of every row: encoded, decoded again from the ids, and digested in one pass.
+def digests(docs: DataFrame, path: str, pattern: str, text: str = "text", doc_id: str = "doc_id", with_ids: bool = False) -> DataFrame:
+    """doc_id, n_tokens, ids_sha256, decoded_sha256 and, on request, ids of every row: encoded, decoded again from the ids, and digested in one pass.
 
     A null text counts as empty (no ids; digests of nothing). Rows are
     independent, so repeated rows, null ids, ties and other columns have no
@@ -207,20 +208,25 @@ def digests(docs: DataFrame, path: str, pattern: str, text: str = "text", doc_id
         pieces = {str(rank): piece for rank, piece in c.pieces.items()}
         sha = hashlib.sha256
         for batch in batches:
-            counts, ids_sha, decoded_sha = [], [], []
+            counts, ids_sha, decoded_sha, all_ids = [], [], [], []
             for chunk in chunks(batch.column(1)):
                 texts = [chunk.text(i).decode() for i in range(chunk.hi - chunk.lo)]
                 for ids in c.joined(texts):
                     split = ids.split(",") if ids else []
                     counts.append(len(split))
+                    if with_ids:
+                        all_ids.append(pa.array(split, pa.string()).cast(pa.int32()))
                     ids_sha.append(sha(ids.encode()).hexdigest())
                     decoded_sha.append(sha(b"".join([pieces[x] for x in split])).hexdigest())
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(counts, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(decoded_sha, pa.string())],
-                names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
-            )
-
-    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), text).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+            columns = [batch.column(0), pa.array(counts, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(decoded_sha, pa.string())]
+            if with_ids:
+                offsets = pa.array([0, *itertools.accumulate(counts)], pa.int32())
+                columns.append(pa.ListArray.from_arrays(offsets, pa.concat_arrays([pa.array([], pa.int32()), *all_ids])))
+            yield pa.RecordBatch.from_arrays(columns, names=names)
+
+    shape = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids
+    names = [c.split(" ")[0] for c in shape.split(", ")]
+    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), text).mapInArrow(run, shape)
 
 
 def public_vocabulary() -> tuple[str, str]:

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import bpe, decontaminate, exact_dedup, html_extract, language_id, minhash, quality, substring_dedup, warc
+from . import bpe, decontaminate, exact_dedup, html_extract, language_id, minhash, pii, quality, substring_dedup, warc
 
 
 def queries() -> dict:
     return {
         "op1_minhash": minhash.op1_minhash,
         "op2_language_id": language_id.op2_language_id,
+        "op3_pii": pii.op3_pii,
         "op4_substring_dedup": substring_dedup.op4_substring_dedup,
         "op5_exact_dedup": exact_dedup.op5_exact_dedup,
         "op6_html_extract": html_extract.op6_html_extract,
