@@ -255,3 +255,21 @@ def op1_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("component").alias("component_id"),
         (F.col("node") == F.col("component")).alias("kept"),
     )
+
+
+OP1_SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+s AS (
+  SELECT DISTINCT doc_id, array_to_string(ws[k:k + least(3, len(ws)) - 1], ' ') AS shingle
+  FROM (SELECT doc_id, ws, unnest(range(1, greatest(len(ws) - 3, 0) + 2)) AS k FROM w WHERE len(ws) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+common AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.shingle = b.shingle AND a.doc_id < b.doc_id GROUP BY ALL),
+links AS (SELECT a, b FROM common JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 85 * (x.n + y.n - c)),
+ways AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reach(node, low) AS (
+  SELECT a, a FROM ways UNION SELECT ways.b, reach.low FROM reach JOIN ways ON reach.node = ways.a WHERE reach.low < ways.b),
+lowest AS (SELECT node, min(low) AS low FROM reach GROUP BY node)
+SELECT w.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, coalesce(low, w.doc_id) AS component_id, coalesce(low, w.doc_id) = w.doc_id AS kept
+FROM w LEFT JOIN n USING (doc_id) LEFT JOIN lowest ON node = w.doc_id
+"""

@@ -22,6 +22,9 @@ def queries() -> dict:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op1_minhash": minhash.OP1_SQL,
+        "op4_substring_dedup": substring_dedup.OP4_SQL,
+        "op7_decontaminate": decontaminate.OP7_SQL,
         "op5_exact_dedup": exact_dedup.OP5_SQL,
         "op10_warc": warc.OP10_SQL,
     }

@@ -228,3 +228,18 @@ def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col(N_REMOVED).alias("n_removed"),
         F.sha2(F.col(KEPT).cast("binary"), 256).alias("kept_sha256"),
     )
+
+
+OP4_SQL = r"""
+WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+g AS (
+  SELECT doc_id, i, array_to_string(ws[i:i + 12], ' ') AS win
+  FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 11)) AS i FROM w WHERE len(ws) >= 13)),
+f AS (SELECT win, min(doc_id) AS first FROM g GROUP BY win),
+gone AS (
+  SELECT doc_id, list(DISTINCT p) AS ps
+  FROM (SELECT doc_id, unnest(range(i, i + 13)) AS p FROM g JOIN f USING (win) WHERE first < doc_id) GROUP BY doc_id)
+SELECT w.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(len(ps), 0) AS BIGINT) AS n_removed,
+       sha256(array_to_string(CASE WHEN ps IS NULL THEN ws ELSE list_filter(ws, lambda x, k: NOT list_contains(ps, k)) END, ' ')) AS kept_sha256
+FROM w LEFT JOIN gone USING (doc_id)
+"""
