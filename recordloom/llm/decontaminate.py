@@ -192,7 +192,7 @@ def find(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_text: s
         held = docs.sparkSession.sparkContext.broadcast(queries)
         typed = got.select(*keep).withColumns({c: F.lit(0).cast("long") for c in kinds.names[:3]})
         typed = typed.withColumn(SPANS, F.lit(None).cast("array<struct<first:long,last:long>>")).withColumn(ITEMS, F.lit(None).cast("array<string>"))
-        got = got.mapInArrow(_searcher(held, keep, kinds, last), (typed if last else typed.withColumn(own, F.lit(""))).schema)
+        got = got.mapInArrow(_searcher(held, keep, kinds, last), (typed if last else typed.withColumn(own, F.lit(None).cast("string"))).schema)
         if not last:
             got = got.select(*keep, F.struct(SPANS, ITEMS).alias(OWN + "was"), own)
     return got
@@ -233,5 +233,24 @@ def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.size(ITEMS).cast("long").alias("n_items"),
         F.sha2(F.array_join(ITEMS, ",").cast("binary"), 256).alias("items_sha256"),
         (F.col(N_HIT) > 0).alias("contaminated"),
-        F.col(LONGEST).alias("longest"),
     )
+
+
+OP7_SQL = r"""
+WITH lower_of AS (SELECT 'ABCDEFGHIJKLMNOPQRSTUVWXYZ' AS a, 'abcdefghijklmnopqrstuvwxyz' AS b),
+d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), a, b), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM documents, lower_of),
+i AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), a, b), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM benchmark, lower_of),
+iw AS (
+  SELECT DISTINCT CAST(item_id AS VARCHAR) AS item_id, n, array_to_string(ws[k:k + n - 1], ' ') AS win
+  FROM (SELECT item_id, ws, least(10, len(ws)) AS n, unnest(range(1, greatest(len(ws) - 10, 0) + 2)) AS k FROM i WHERE len(ws) > 0)),
+dw AS (
+  SELECT doc_id, k, n, array_to_string(ws[k:k + n - 1], ' ') AS win
+  FROM (SELECT doc_id, ws, n, unnest(range(1, len(ws) - n + 2)) AS k FROM d, (SELECT DISTINCT n FROM iw) WHERE len(ws) >= n)),
+hit AS (SELECT doc_id, k, n, item_id FROM dw JOIN iw USING (n, win)),
+found AS (SELECT doc_id, list_sort(list(DISTINCT item_id)) AS items FROM hit GROUP BY doc_id),
+places AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest(range(k, k + n)) AS p FROM hit) GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(places.n, 0) AS BIGINT) AS n_hit,
+       CAST(coalesce(len(items), 0) AS BIGINT) AS n_items, sha256(coalesce(array_to_string(items, ','), '')) AS items_sha256,
+       coalesce(places.n, 0) > 0 AS contaminated
+FROM d LEFT JOIN found USING (doc_id) LEFT JOIN places USING (doc_id)
+"""
