@@ -80,19 +80,22 @@ class DigestIndex:
         )
         self.made = True
 
-    def assign(self, docs: DataFrame, text: str = "text") -> DataFrame:
-        """Every row of docs with the index's entry for its text.
+    def assign(self, docs: DataFrame, text: str = "text", keep: list[str] | None = None) -> DataFrame:
+        """The columns in keep (all by default) of every row of docs, its digest and code points, and the index's entry.
 
         Both sides are shuffled, so that Spark can split the partition of a
         digest that very many rows share.
         """
         index = self.read().select(F.col(DIGEST), KEEP, LONG, SIZE)
         index = index.withColumn(DIGEST, F.concat(F.col(DIGEST), F.lit("")))
-        return docs.withColumn(DIGEST, digest(text)).join(index, DIGEST, "left")
+        length = F.length(F.coalesce(F.col(text), F.lit(""))).cast("long")
+        rows = docs.withColumns({DIGEST: digest(text), OWN + "length": length})
+        keep = docs.columns if keep is None else keep
+        return rows.select(*keep, DIGEST, OWN + "length").join(index, DIGEST, "left")
 
 
-def exact_dedup(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", path: str | None = None) -> DataFrame:
-    """docs with keep_id, group_size, kept and text_sha256 in columns named with OWN before them.
+def exact_dedup(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", path: str | None = None, keep: list[str] | None = None) -> DataFrame:
+    """The columns in keep (all by default, doc_id among them) with DIGEST, KEEP (the id that stays), SIZE (of the group) and OWN + "kept".
 
     Null text counts as empty; all empty texts are one group. A null id is
     kept last (any other id of its group wins among equally long texts); a
@@ -104,10 +107,9 @@ def exact_dedup(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", pat
     """
     index = DigestIndex(docs.sparkSession, path)
     index.add(docs, text, doc_id)
-    got = index.assign(docs, text)
+    got = index.assign(docs, text, keep)
     same = F.col(doc_id).cast("long").eqNullSafe(F.col(KEEP))
-    longest = F.length(F.coalesce(F.col(text), F.lit(""))) == F.col(LONG)
-    return got.withColumn(OWN + "kept", same & longest)
+    return got.withColumn(OWN + "kept", same & (F.col(OWN + "length") == F.col(LONG)))
 
 
 def keep_first(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
@@ -116,7 +118,7 @@ def keep_first(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> D
 
 
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    got = exact_dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    got = exact_dedup(table(spark, sf_dir, "documents").select("doc_id", "text"), keep=["doc_id"])
     return got.select(
         "doc_id",
         F.col(KEEP).alias("keep_id"),
