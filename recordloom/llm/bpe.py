@@ -26,7 +26,7 @@ from .shared import OWN, table
 from .textkit import chunks
 
 #: Pre-tokens (and parts between spaces) that a worker remembers about.
-CACHE = 500_000
+CACHE = 300_000
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 #: Patterns of which it is known that a space before a character that is none begins a pre-token.
 CUT_AT_SPACES = (r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+""",)
@@ -124,6 +124,11 @@ class Codec:
                 at += 1
         return out
 
+    def forget(self) -> None:
+        """Workers live on after a task; what they remember should not."""
+        self.known.clear()
+        self.units.clear()
+
     def learn(self, units: set[str]) -> None:
         """Encodes parts of texts that begin and end where pre-tokens do."""
         if len(self.units) + len(units) > CACHE:
@@ -176,6 +181,7 @@ def encode(docs: DataFrame, path: str, pattern: str, text: str = "text") -> Data
         for batch in batches:
             ids = [c.encode(t.as_py() or "") for t in batch.column(text)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(ids, pa.list_(pa.int32()))], names=[*batch.schema.names, name])
+        c.forget()
 
     return kept.mapInArrow(run, schema)
 
@@ -223,6 +229,7 @@ def digests(docs: DataFrame, path: str, pattern: str, text: str = "text", doc_id
                 offsets = pa.array([0, *itertools.accumulate(counts)], pa.int32())
                 columns.append(pa.ListArray.from_arrays(offsets, pa.concat_arrays([pa.array([], pa.int32()), *all_ids])))
             yield pa.RecordBatch.from_arrays(columns, names=names)
+        c.forget()
 
     shape = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids
     names = [c.split(" ")[0] for c in shape.split(", ")]
