@@ -69,7 +69,7 @@ def components(edges: DataFrame) -> DataFrame:
         if pointers is None:
             pointers = least
         else:
-            pointers = pointers.join(least.withColumnsRenamed({"node": "to", "to": "further"}), "to", "left").select("node", F.coalesce("further", "to").alias("to"))
+            pointers = pointers.join(least.select(F.col("node").alias("to"), F.col("to").alias("further")), "to", "left").select("node", F.coalesce("further", "to").alias("to"))
         step += 1
     if pointers is None:
         return edges.select(F.col("a").alias("node"), F.col("b").alias("component"))

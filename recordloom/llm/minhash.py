@@ -1,11 +1,13 @@
 """Near-duplicate detection: SuperMinHash signatures, banding, verification on full sets, union-find grouping.
 
 Documents with equal shingle sets are one node. Nodes that share a band are
-candidates. Within a band bucket, members are compared with a pivot rather
-than with each other; what the links so found join needs no further
-comparison. Buckets that still hold several groups are compared again: with
-their best-linked member, then with further random members, and, once few
-members are left, pair by pair. So no link between different groups is lost
+candidates. Within a band bucket, members are compared with a pivot, the most
+central one, rather than with each other; what the links so found join needs
+no further comparison. Buckets that still hold several groups are compared
+again with the most central member outside the pivot's group. Then members go
+that can't be linked with another group, since too few of their shingles occur
+in one. Of what is left, members outside a bucket's main group are compared
+with their bucket, some a round. So no link between different groups is lost
 and a large bucket never emits all its pairs.
 """
 
@@ -15,7 +17,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .components import components
@@ -25,9 +27,11 @@ from .textkit import NOT_SPACE, U64, Chunk, Sequences, chunks, mix, ranges, word
 #: Registers of a signature; the most that banding may miss of the pairs just at the threshold.
 REGISTERS, MISSED = 120, 1e-6
 SHINGLE, SIMILAR = 5, (80, 100)
-#: A bucket of so many members is compared pair by pair; pivots a round in larger ones.
-FEW, PIVOTS = 32, 8
-SKETCH_BYTES = 2 << 20
+#: Members outside a bucket's main group that the others are compared with in one round.
+PIVOTS = 512
+#: How often members that can't be linked are taken out; each time, what went no longer counts for the rest.
+PRUNINGS = 2
+SKETCH_BYTES = 1 << 20
 _FRACTION = U64(40)
 
 
@@ -96,8 +100,8 @@ def superminhash(values: np.ndarray, first: np.ndarray, registers: int = REGISTE
 
 
 def sketch(docs: DataFrame, text: str, doc_id: str, size: int, in_band: int) -> DataFrame:
-    """node (the id), key (of the text), n, set (a 128-bit digest of the shingle set) and bands of every row."""
-    schema = "node long, key long, n long, set binary, bands array<long>"
+    """node (the id), key (of the text), n, set (a 128-bit digest of the shingle set), bands and bits (four of each register) of every row."""
+    schema = "node long, key long, n long, set binary, bands array<long>, bits array<long>"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -110,7 +114,11 @@ def sketch(docs: DataFrame, text: str, doc_id: str, size: int, in_band: int) ->
                     with np.errstate(over="ignore"):
                         for k, salt in enumerate((0x6A09E667F3BCC908, 0xBB67AE8584CAA73B)):
                             digest[full, k] = np.add.reduceat(mix(values ^ U64(salt)), first[full])
-                signature = superminhash(values, first).reshape(len(n), -1, in_band)
+                signature = superminhash(values, first)
+                bits = np.zeros((len(n), -(-REGISTERS // 16)), U64)
+                for k in range(REGISTERS):
+                    bits[:, k // 16] |= (mix(signature[:, k]) & U64(15)) << U64(4 * (k % 16))
+                signature = signature.reshape(len(n), -1, in_band)
                 band = np.broadcast_to(mix(np.arange(1, signature.shape[1] + 1, dtype=U64)), signature.shape[:2])
                 for k in range(in_band):
                     band = mix(band ^ signature[:, :, k])
@@ -123,8 +131,9 @@ def sketch(docs: DataFrame, text: str, doc_id: str, size: int, in_band: int) ->
                         pa.array(n, pa.int64()),
                         pa.array([d.tobytes() if k else None for d, k in zip(digest, n)], pa.binary()),
                         pa.ListArray.from_arrays(pa.array(offsets), pa.array(band.ravel().view(np.int64))),
+                        pa.ListArray.from_arrays(pa.array(np.arange(len(n) + 1, dtype=np.int32) * bits.shape[1]), pa.array(bits.ravel().view(np.int64))),
                     ],
-                    names=["node", "key", "n", "set", "bands"],
+                    names=["node", "key", "n", "set", "bands", "bits"],
                 )
 
     rows = docs.select(F.col(doc_id).cast("long").alias("node"), F.xxhash64(text).alias("key"), F.col(text).alias("text"))
@@ -163,45 +172,101 @@ def verify(pairs: DataFrame, texts: DataFrame, size: int, similar: tuple[int, in
     return joined.select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long").distinct()
 
 
+def reachable(live: DataFrame, texts: DataFrame, size: int, similar: tuple[int, int]) -> DataFrame:
+    """The rows of live (band, node, n, group) that another group of their bucket may be linked with, with the bound `most`.
+
+    A link with y of another group has at most as many common shingles as x
+    has shingles that occur in another group at all. If these are too few for
+    even the smallest member of x's buckets, x has no such link.
+    """
+    least, of = similar
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for chunk in chunks(batch.column(2), SKETCH_BYTES):
+                values, first = shingles(chunk, size)
+                row = np.repeat(np.arange(chunk.lo, chunk.hi), np.diff(first))
+                nodes, groups = np.asarray(batch.column(0))[row], np.asarray(batch.column(1))[row]
+                for lo in range(0, len(values), 50_000):
+                    part = slice(lo, lo + 50_000)
+                    yield pa.RecordBatch.from_pydict({"shingle": pa.array(values[part].view(np.int64)), "node": pa.array(nodes[part]), "group": pa.array(groups[part])})
+
+    smallest = live.groupBy("band").agg(F.min("n").alias("low"))
+    nodes = materialise(live.join(smallest, "band").groupBy("node").agg(F.first("group").alias("group"), F.first("n").alias("n"), F.min("low").alias("low")), "nodes")
+    spread = materialise(texts.join(nodes.select("node", "group"), "node").select("node", "group", "text").mapInArrow(run, "shingle long, node long, group long"), "spread")
+    across = spread.groupBy("shingle").agg(F.min("group").alias("x"), F.max("group").alias("y")).filter("x <> y").select("shingle")
+    # a node of several texts has all their shingles, which only makes the bound weaker
+    common = spread.join(across, "shingle").groupBy("node").agg(F.count(F.lit(1)).alias("common"))
+    kept = nodes.join(common, "node").filter(F.col("common") * (least + of) >= F.lit(least) * (F.col("n") + F.col("low"))).select("node", "common")
+    return live.drop("most").join(kept.withColumnRenamed("common", "most"), "node")
+
+
+def most_unlike(similar: tuple[int, int]) -> int:
+    """Registers that at most differ between the bits of two sets at the threshold, but for one pair in about ten million."""
+    p = (1 - similar[0] / similar[1]) * 15 / 16
+    return int(REGISTERS * p + 5.2 * (REGISTERS * p * (1 - p)) ** 0.5) + 1
+
+
+def unlike(a: Column, b: Column) -> Column:
+    """How many registers differ between two arrays of bits."""
+    def of(x: Column) -> Column:
+        x = x.bitwiseOR(F.shiftrightunsigned(x, 1)).bitwiseOR(F.shiftrightunsigned(x, 2)).bitwiseOR(F.shiftrightunsigned(x, 3))
+        return F.bit_count(x.bitwiseAND(F.lit(0x1111111111111111)))
+
+    return sum((of(F.get(a, F.lit(k)).bitwiseXOR(F.get(b, F.lit(k)))) for k in range(-(-REGISTERS // 16))), F.lit(0))
+
+
+def mixed(live: DataFrame) -> DataFrame:
+    """The rows of live (band, node, n, group) whose bucket has several groups."""
+    several = live.groupBy("band").agg(F.min("group").alias("x"), F.max("group").alias("y")).filter("x <> y").select("band")
+    return live.join(several, "band")
+
+
 def link(members: DataFrame, docs: DataFrame, text: str, doc_id: str, size: int, similar: tuple[int, int]) -> DataFrame | None:
     """node and component of the members (node, key, n, bands) that similar ones are linked with; None if no band is shared."""
     spark = docs.sparkSession
     least, of = similar
     rows = members.select("node", "n", "key", F.explode("bands").alias("band"))
-    shared = rows.groupBy("band").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("band")
-    buckets = materialise(rows.join(shared, "band"), "buckets")
+    sizes = rows.groupBy("band").agg(F.count(F.lit(1)).alias("c")).filter("c > 1")
+    buckets = materialise(rows.join(sizes, "band"), "buckets")
     if buckets.isEmpty():
         return None
     wanted = buckets.select("node", "key").distinct()
     texts = docs.select(F.col(doc_id).cast("long").alias("node"), F.xxhash64(text).alias("key"), F.col(text).alias("text"))
     texts = materialise(texts.join(wanted, ["node", "key"]).select("node", "text"), "texts")
-    order = lambda *c: F.xxhash64(*(x if not isinstance(x, str) else F.col(x) for x in c))
-    close = F.lit(of) * F.least("n", "pn") >= F.lit(least) * F.greatest("n", "pn")
-    ordered = (F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b"))
+    # what most others resemble meets most of them in its buckets
+    central = buckets.groupBy("node").agg(F.sum("c").alias("central"))
+    live = buckets.select("band", "node", "n", F.col("node").alias("group"), F.col("n").alias("most")).join(central, "node")
+    # as many shingles as two members can have in common must be enough
+    close = F.lit(least + of) * F.least("most", "pm") >= F.lit(least) * (F.col("n") + F.col("pn"))
+    pivot = (F.col("node").alias("pivot"), F.col("n").alias("pn"), F.col("most").alias("pm"), F.col("group").alias("pc"))
+    best = F.struct("central", F.xxhash64("node").alias("o"), *pivot)
 
     def pairs_with(pivots: DataFrame, rows: DataFrame) -> DataFrame:
-        """Pairs of each row with the pivots of its bucket; pivots has band, pivot, pn and pc (the pivot's group)."""
-        return rows.join(pivots, "band").filter((F.col("node") != F.col("pivot")) & (F.col("group") != F.col("pc")) & close).select(*ordered).distinct()
+        """Pairs of each row with the pivots of its bucket; pivots has band, pivot, pn, pm and pc (the pivot's n, most and group)."""
+        met = rows.join(pivots.withColumnRenamed("band", "pband"), (F.col("band") == F.col("pband")) & (F.col("group") != F.col("pc")) & close)
+        return met.select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")).distinct()
 
-    live = buckets.select("band", "node", "n", F.col("node").alias("group"))
     tested = links = groups = None
     step = 0
     while True:
-        best = F.struct(order("node").alias("o"), F.col("node").alias("pivot"), F.col("n").alias("pn"), F.col("group").alias("pc"))
-        if step == 1:
-            degree = links.select("a").unionByName(links.select(F.col("b").alias("a"))).groupBy(F.col("a").alias("node")).agg(F.count(F.lit(1)).alias("degree"))
-            live = live.join(degree, "node", "left").fillna(0, ["degree"])
-            best = F.struct((-F.col("degree")).alias("d"), order("node").alias("o"), F.col("node").alias("pivot"), F.col("n").alias("pn"), F.col("group").alias("pc"))
-        if step < 2:
-            pivots = live.groupBy("band").agg(F.min(best).alias("p")).select("band", "p.pivot", "p.pn", "p.pc")
-            pairs = pairs_with(pivots, live)
+        top = live.groupBy("band").agg(F.max(best).alias("p")).select("band", "p.pivot", "p.pn", "p.pm", "p.pc")
+        if step == 0:
+            pairs = pairs_with(top, live)
         else:
-            # few members: pair by pair; more: with some random members, which then leave the bucket
-            sizes = live.groupBy("band").agg(F.count(F.lit(1)).alias("c"))
-            live = live.join(sizes, "band").withColumn("chosen", F.pmod(order(F.lit(step), "node", "band"), "c") < F.when(F.col("c") > FEW, PIVOTS).otherwise(F.col("c")))
-            pivots = live.filter("chosen").select("band", F.col("node").alias("pivot"), F.col("n").alias("pn"), F.col("group").alias("pc"))
+            # every pair of different groups has a member outside the top one's group: the most central of these first, later many
+            outside = live.join(top.select("band", F.col("pc").alias("top")), "band").filter("group <> top").drop("top")
+            if step == 1:
+                pivots = outside.groupBy("band").agg(F.max(best).alias("p")).select("band", "p.pivot", "p.pn", "p.pm", "p.pc")
+            else:
+                count = outside.groupBy("band").agg(F.count(F.lit(1)).alias("c"))
+                chosen = outside.join(count, "band").filter(F.pmod(F.xxhash64(F.lit(step), "node", "band"), "c") < PIVOTS)
+                pivots = materialise(chosen.select("band", *pivot), "pivots")
+                # what has been compared with its whole bucket leaves it
+                compared = pivots.select("band", F.col("pivot").alias("node"))
             pairs = pairs_with(pivots, live)
-            live = live.filter("not chosen")
+            if step > 1:
+                live = live.join(compared, ["band", "node"], "left_anti")
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
         pairs = materialise(pairs, "pairs")
@@ -210,11 +275,20 @@ def link(members: DataFrame, docs: DataFrame, text: str, doc_id: str, size: int,
         links = new if links is None else links.unionByName(new)
         if step == 0 or not new.isEmpty():
             groups = components(links)
-        left = live.select("band", "node", "n").join(groups, "node", "left").select("band", "node", "n", F.coalesce("component", "node").alias("group"))
-        mixed = left.groupBy("band").agg(F.min("group").alias("x"), F.max("group").alias("y")).filter("x <> y").select("band")
-        live = materialise(left.join(mixed, "band"), "live")
+        left = live.drop("group").join(groups, "node", "left").withColumn("group", F.coalesce("component", "node")).drop("component")
+        live = materialise(mixed(left), "live")
+        for _ in range(PRUNINGS if step == 1 and not live.isEmpty() else 0):
+            live = materialise(mixed(reachable(live, texts, size, similar)), "live")
         if live.isEmpty():
             return groups
+        if step == 1:
+            # buckets that share members become one, so that a pair meets once
+            first = live.groupBy("band").agg(F.min("node").alias("b"))
+            families = components(live.join(first, "band").select(F.col("node").alias("a"), "b"))
+            once = live.drop("band").dropDuplicates(["node"]).join(families, "node").withColumnRenamed("component", "band")
+            live = materialise(mixed(once.join(members.select("node", "bands", "bits").dropDuplicates(["node"]), "node")), "live")
+            pivot = (*pivot, F.col("bands").alias("pbands"), F.col("bits").alias("pbits"))
+            close = close & F.arrays_overlap("bands", "pbands") & (unlike(F.col("bits"), F.col("pbits")) <= most_unlike(similar))
         step += 1
 
 
@@ -231,7 +305,7 @@ def near_dedup(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", size
     threshold; every link is confirmed on the full sets.
     """
     rows = materialise(sketch(docs, text, doc_id, size, rows_in_band(similar)), "sketch")
-    members = rows.filter("n > 0 and node is not null").groupBy("set").agg(F.min(F.struct("node", "key", "n", "bands")).alias("m")).select("set", "m.*")
+    members = rows.filter("n > 0 and node is not null").groupBy("set").agg(F.min(F.struct("node", "key", "n", "bands", "bits")).alias("m")).select("set", "m.*")
     members = materialise(members, "members")
     groups = link(members, docs, text, doc_id, size, similar)
     if groups is None:

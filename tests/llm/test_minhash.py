@@ -67,7 +67,6 @@ def test_against_brute_force(docs_of, size, similar):
 
 def test_large_buckets_without_links(docs_of, monkeypatch):
     """More members than are compared pair by pair, in several groups."""
-    monkeypatch.setattr(minhash, "FEW", 4)
     monkeypatch.setattr(minhash, "PIVOTS", 2)
     texts = corpus(9)
     got = {r["node"]: r["component"] for r in minhash.near_dedup(docs_of(texts), size=3, similar=(85, 100)).collect()}
