@@ -50,12 +50,13 @@ def components(edges: DataFrame) -> DataFrame:
     """node and component (the smallest node that it reaches) of every node with an edge.
 
     Each step deals MOST_NODES / 2 edges, which can't have more nodes than
-    that, to a task, which turns them into a forest. Then every node points to the least of itself and its neighbours
-    (by id, which contracts the trees of a forest at once, and in every other
-    step in a random order, which keeps the steps logarithmic in the nodes),
-    and the edges are contracted. A node with very many edges costs a partial
-    aggregate and a join that Spark can split. What fits in one task ends
-    there. Loops and repeated edges have no effect; no edges give no rows.
+    that, to a task, which turns them into a forest. Then every node points
+    to the least of itself and its neighbours (by id, which contracts the
+    trees of a forest at once, and in every other step in a random order,
+    which keeps the steps logarithmic in the nodes), and the edges are
+    contracted. A node with very many edges costs a partial aggregate and a
+    join that Spark can split. What fits in one task ends there. Loops and
+    repeated edges have no effect; no edges give no rows.
     """
     edges = materialise(forest(edges.filter("a <> b")), "edges")
     pointers = None
