@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import json
 import re
 import xml.etree.ElementTree as ET
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from xml.parsers import expat
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -19,6 +21,8 @@ from .detect import decoded, detect_delimiter, detect_structure, read_sample, xm
 ESCAPES = {"n": "\n", "r": "\r", "t": "\t", "\\": "\\"}
 JSON_START = r'^\s*[{\["tfn\-0-9]'
 NOT_UTF8 = "�"
+#: The name of the text of an element that has only text in some records and elements in others.
+VALUE = "#text"
 
 
 # CSV
@@ -186,10 +190,19 @@ def fragments(text: Column, record: str) -> Column:
     return F.regexp_extract_all(text, F.lit(rf"(?s)<{name}(?:\s[^>]*?)?/>|<{name}(?=[\s>])(?:[^>]*[^/>])?>.*?</{name}\s*>"), 0)
 
 
+def _element(text: str) -> ET.Element:
+    """The element of a record's text; prefixes are part of names."""
+    builder, parser = ET.TreeBuilder(), expat.ParserCreate()
+    parser.StartElementHandler, parser.EndElementHandler, parser.CharacterDataHandler = builder.start, builder.end, builder.data
+    parser.Parse(text, True)
+    return builder.close()
+
+
 def _shape(element: ET.Element) -> T.DataType:
+    """Of an element: a structure, text, or void if it is empty."""
     children = list(element)
     if not children:
-        return T.StringType()
+        return T.StringType() if (element.text or "").strip() else T.NullType()
     shapes: dict[str, T.DataType] = {}
     for child in children:
         name, shape = child.tag, _shape(child)
@@ -201,47 +214,62 @@ def _shape(element: ET.Element) -> T.DataType:
 
 
 def _merged(a: T.DataType, b: T.DataType) -> T.DataType:
+    """What holds both; where one is text and the other a structure, that has the text as VALUE."""
     if isinstance(a, T.ArrayType) or isinstance(b, T.ArrayType):
         x, y = (t.elementType if isinstance(t, T.ArrayType) else t for t in (a, b))
         return T.ArrayType(_merged(x, y))
-    if isinstance(a, T.StructType) and isinstance(b, T.StructType):
-        fields = {f.name: f.dataType for f in a.fields}
-        for f in b.fields:
+    if isinstance(a, T.StructType) or isinstance(b, T.StructType):
+        a, b = (T.StructType([T.StructField(VALUE, t)]) if isinstance(t, T.StringType) else t for t in (a, b))
+        fields = {f.name: f.dataType for f in a.fields} if isinstance(a, T.StructType) else {}
+        for f in b.fields if isinstance(b, T.StructType) else ():
             fields[f.name] = _merged(fields[f.name], f.dataType) if f.name in fields else f.dataType
         return T.StructType([T.StructField(n, t) for n, t in sorted(fields.items())])
-    return a if isinstance(a, T.StructType) else b
+    return b if isinstance(a, T.NullType) else a
 
 
-def xml_schema(sample: list[str], attributes: bool = True) -> T.StructType:
-    """The schema of sampled records: texts, objects and lists, with the record's attributes as @name; child attributes don't count."""
+def _record_shape(sample: Iterable[str]) -> T.StructType:
+    """The merged shape of records, with their attributes as @name; texts that are no element have none."""
     merged: T.DataType = T.StructType([])
-    names: set[str] = set()
     for x in sample:
-        plain = x
-        for prefix in set(_prefixes(x)):
-            plain = plain.replace(f"{prefix}:", f"{prefix}__colon__")
         try:
-            element = ET.fromstring(plain)
-        except ET.ParseError:
+            element = _element(x)
+        except expat.ExpatError:
             continue
         shape = _shape(element)
-        if isinstance(shape, T.StructType):
-            merged = _merged(merged, shape)
-        names |= set(element.attrib)
-    fields = [T.StructField(f"@{n}".replace("__colon__", ":"), T.StringType()) for n in sorted(names)] if attributes else []
-    return T.StructType(fields + [T.StructField(f.name.replace("__colon__", ":"), _plain(f.dataType)) for f in merged.fields])
+        own = T.StructType([T.StructField(f"@{n}", T.StringType()) for n in element.attrib])
+        merged = _merged(_merged(merged, own), shape if isinstance(shape, T.StructType) else T.StructType([]))
+    return merged
+
+
+def _schema_of(shape: T.StructType, attributes: bool) -> T.StructType:
+    return T.StructType([T.StructField(f.name, _plain(f.dataType)) for f in shape.fields if attributes or not f.name.startswith("@")])
+
+
+def xml_schema(sample: list[str], attributes: bool = True) -> T.StructType:
+    """The schema of records: texts, objects and lists, with the record's attributes as @name; child attributes don't count."""
+    return _schema_of(_record_shape(sample), attributes)
+
+
+def inferred_xml_schema(texts: DataFrame, record: str, attributes: bool = True) -> T.StructType:
+    """The schema of all records of the texts (a column `value`): one partial shape a task, merged."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shape = _record_shape(x for batch in batches for x in batch.column(0).to_pylist())
+        yield pa.RecordBatch.from_arrays([pa.array([shape.json()], pa.string())], names=["shape"])
+
+    parts = texts.select(F.explode(fragments(F.col("value"), record)).alias("x")).mapInArrow(run, "shape string").distinct()
+    shape: T.DataType = T.StructType([])
+    for row in parts.toLocalIterator():
+        shape = _merged(shape, T.StructType.fromJson(json.loads(row["shape"])))
+    return _schema_of(shape, attributes)
 
 
 def _plain(t: T.DataType) -> T.DataType:
     if isinstance(t, T.ArrayType):
         return T.ArrayType(_plain(t.elementType))
     if isinstance(t, T.StructType):
-        return T.StructType([T.StructField(f.name.replace("__colon__", ":"), _plain(f.dataType)) for f in t.fields])
-    return t
-
-
-def _prefixes(text: str) -> list[str]:
-    return [m[1] for m in re.finditer(r"</?([A-Za-z_][\w.-]*):", text)]
+        return T.StructType([T.StructField(f.name, _plain(f.dataType)) for f in t.fields])
+    return T.StringType()
 
 
 def _no_empty(column: Column, dtype: T.DataType, trim: bool) -> Column:
@@ -261,25 +289,25 @@ def _no_empty(column: Column, dtype: T.DataType, trim: bool) -> Column:
 def parse_xml(texts: DataFrame, record: str, schema: T.StructType, options: XmlOptions = XmlOptions()) -> DataFrame:
     """Records of the texts (a column `value`)."""
     parts = texts.select(F.explode(fragments(F.col("value"), record)).alias("x"))
-    parsed = parts.select(F.from_xml("x", schema, {"attributePrefix": "@", "ignoreSurroundingSpaces": str(options.trim).lower(), "mode": "FAILFAST"}).alias("r"))
+    parsed = parts.select(F.from_xml("x", schema, {"attributePrefix": "@", "valueTag": VALUE, "ignoreSurroundingSpaces": str(options.trim).lower(), "mode": "FAILFAST"}).alias("r"))
     return parsed.select(*(_no_empty(F.col("r").getField(f.name), f.dataType, options.trim).alias(f.name) for f in schema.fields))
 
 
 def read_xml(spark: SparkSession, path: str, options: XmlOptions = XmlOptions(), schema: T.StructType | None = None) -> DataFrame:
     """Records of XML files; everything outside record elements is ignored. All leaves are texts, empty ones null.
 
-    A file is one task; with options.split, Spark's own source reads large
+    Without a schema, names and shapes are those of all records, found in
+    splits in a first pass; the sample only tells the record element. A file
+    is one task; with options.split, Spark's own source reads large
     files in splits (it doesn't tolerate markup errors outside records).
     """
-    sample = decoded(read_sample(spark, path))
-    record = options.record or xml_elements(sample)[1] or "row"
+    record = options.record or xml_elements(decoded(read_sample(spark, path)))[1] or "row"
     if schema is None:
-        found = re.findall(rf"(?s)<{re.escape(record)}(?:\s[^>]*?)?/>|<{re.escape(record)}(?=[\s>])(?:[^>]*[^/>])?>.*?</{re.escape(record)}\s*>", sample)
-        schema = xml_schema(found, options.attributes)
+        schema = inferred_xml_schema(spark.read.option("lineSep", f"</{record}>").text(path).select(F.concat("value", F.lit(f"</{record}>")).alias("value")), record, options.attributes)
     if not schema.fields:
         return spark.createDataFrame([], T.StructType([]))
     if options.split:
-        rows = spark.read.format("xml").schema(schema).option("rowTag", record).option("attributePrefix", "@").option("mode", "FAILFAST").load(path)
+        rows = spark.read.format("xml").schema(schema).option("rowTag", record).option("attributePrefix", "@").option("valueTag", VALUE).option("mode", "FAILFAST").load(path)
         return rows.select(*(_no_empty(F.col("`" + f.name + "`"), f.dataType, options.trim).alias(f.name) for f in schema.fields))
     return parse_xml(spark.read.text(path, wholetext=True), record, schema, options)
 

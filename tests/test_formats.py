@@ -160,3 +160,16 @@ def test_stream_equals_batch(spark, tmp_path, output):
     assert sorted((r["b"], float(r["c"])) for r in got.collect()) == [("x", 2.0), ("y", 4.0), ("z", 6.0)]
     with pytest.raises(Exception, match="aborted"):
         job.start()
+
+
+def test_xml_schema_is_that_of_all_records(spark, tmp_path):
+    source = tmp_path / "folder"
+    source.mkdir()
+    first = "".join(f"<row><a>{i}</a><sub>text</sub></row>" for i in range(12_000))
+    put(source, f'<all>{first}<row late="x"><a>1</a><a>2</a><b>y</b></row></all>', "1.xml")
+    put(source, '<all><row><a>60000</a><c x:k="1"><d>z</d></c><sub><e>n</e></sub><none/></row></all>', "2.xml")
+    assert len(first) > 256 * 1024
+    for split in (False, True):
+        got = rows(readers.read_xml(spark, str(source), XmlOptions(record="row", split=split)).filter("a[0] = '60000' or size(a) = 2 or a[0] = '7'").orderBy("a"))
+        assert [{k: v for k, v in r.items() if k != "sub"} for r in got] == [{"@late": "x", "a": ["1", "2"], "b": "y"}, {"a": ["60000"], "c": {"d": "z"}}, {"a": ["7"]}]
+        assert got[2]["sub"]["#text"] == "text" and got[1]["sub"]["e"].startswith("n")
