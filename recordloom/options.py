@@ -30,9 +30,9 @@ def _one_of(name: str, value: str, allowed: tuple[str, ...]) -> str:
 
 @dataclass(frozen=True)
 class CsvOptions:
-    """delimiter None: found in a sample. exact: both "" and backslash escapes, and ragged rows; None: where the sample needs it.
+    """delimiter None: found in a sample. exact: both "" and backslash escapes, and ragged rows; None: where a line needs it.
 
-    multiline: records may have newlines inside quotes, so a file is one task; None: where the sample has them.
+    multiline: records may have newlines inside quotes, so a file is one task; None: where a line has an odd count of quotes.
     """
 
     delimiter: str | None = None

@@ -32,24 +32,15 @@ def csv_records(text: str, quote: str) -> list[str]:
     """Records of a whole text: they end at newlines outside quotes. An open quote at the end is an error."""
     if quote not in text:
         return text.replace("\r\n", "\n").replace("\r", "\n").split("\n")
-    out, part, inside, at = [], [], False, 0
-    while at < len(text):
-        c = text[at]
-        if inside and c == "\\":
-            part.append(text[at : at + 2])
-            at += 2
-            continue
-        if c == quote:
-            inside = not inside
-        if c in "\r\n" and not inside:
-            out.append("".join(part))
-            part = []
-        else:
-            part.append(c)
-        at += 1
-    if inside:
-        raise CsvParseError("a quote is not closed")
-    return [*out, "".join(part)]
+    q = re.escape(quote)
+    record = re.compile(rf"(?:[^{q}\r\n]++|{q}(?:[^{q}\\]++|\\.)*+{q})*+(\r\n|\r|\n|\Z)", re.S)
+    out, at = [], 0
+    while m := record.match(text, at):
+        out.append(text[at : m.start(1)])
+        at = m.end()
+        if not m[1]:
+            return out
+    raise CsvParseError("a quote is not closed")
 
 
 def csv_fields(record: str, delimiter: str, quote: str, trim: bool) -> list[str]:
@@ -102,23 +93,41 @@ def _last_of_each(names: list[str]) -> dict[str, int]:
     return {n: i for i, n in enumerate(names)}
 
 
+def csv_traits(lines: DataFrame, delimiter: str, quote: str, width: int) -> dict[str, bool]:
+    """Of all lines (a column `value`): odd, whether one has an odd count of quotes; special, whether one has a backslash, more than width fields, or a quote that neither begins nor ends a field."""
+    q, d = (f"\\x{{{ord(c):x}}}" for c in (quote, delimiter))
+    line = F.col("value")
+    quoted = F.contains(line, F.lit(quote))
+    count = lambda text, c: F.length(text) - F.length(F.replace(text, F.lit(c), F.lit("")))
+    bare = F.when(quoted, F.regexp_replace(line, f"{q}[^{q}]*+{q}", "")).otherwise(line)
+    inner = quoted & F.contains(F.regexp_replace(line, f"(?<=^|{d})(?:{q}[^{q}]*+{q})++(?={d}|$)", ""), F.lit(quote))
+    special = F.contains(line, F.lit("\\")) | (count(bare, delimiter) >= max(width, 1)) | inner
+    found = lines.agg(F.max(quoted & (count(line, quote) % 2 == 1)).alias("odd"), F.max(special).alias("special")).first()
+    return {"odd": bool(found["odd"]), "special": bool(found["special"])}
+
+
 def read_csv(spark: SparkSession, path: str, options: CsvOptions = CsvOptions(), names: list[str] | None = None) -> DataFrame:
     """All columns are texts. Extra fields are field_{i}, missing ones null; of equal names the last field counts.
 
-    Where a sample shows nothing but plain quoting, Spark's own source reads
-    (in splits, if no record has newlines); with exact, every record is parsed
-    with both ways of escaping, and widths are found by one aggregate.
+    Where all lines of all files have nothing but plain quoting, Spark's own
+    source reads, in splits. Where one has more (see csv_traits), every record
+    is parsed with both ways of escaping, and widths are found by one
+    aggregate; where one has an odd count of quotes, records may have newlines
+    and a file is one task. The sample tells only the delimiter and header.
     """
     text = decoded(read_sample(spark, path))
     delimiter = options.delimiter or detect_delimiter(text)
     records = [r for r in _sampled_records(text, options.quote) if r.strip()]
-    multiline = options.multiline if options.multiline is not None else any("\n" in r for r in records)
     header = csv_fields(records[0], delimiter, options.quote, options.trim) if records else []
     width = len(header)
     header = names or (header if options.headers else [f"field_{i}" for i in range(width)])
-    exact = options.exact
-    if exact is None:
-        exact = any("\\" in r for r in records) or any(len(csv_fields(r, delimiter, options.quote, False)) > width for r in records) or len(set(header)) < len(header)
+    exact, multiline = options.exact, options.multiline
+    if records and (multiline is None or exact is None and not multiline):
+        traits = csv_traits(spark.read.text(path), delimiter, options.quote, width)
+        multiline = traits["odd"] if multiline is None else multiline
+        exact = traits["odd"] or traits["special"] or len(set(header)) < len(header) if exact is None else exact
+    elif exact is None:
+        exact = True
     if not records:
         return spark.createDataFrame([], T.StructType([T.StructField(n, T.StringType()) for n in names or ()]))
     if not exact:

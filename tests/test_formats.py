@@ -173,3 +173,29 @@ def test_xml_schema_is_that_of_all_records(spark, tmp_path):
         got = rows(readers.read_xml(spark, str(source), XmlOptions(record="row", split=split)).filter("a[0] = '60000' or size(a) = 2 or a[0] = '7'").orderBy("a"))
         assert [{k: v for k, v in r.items() if k != "sub"} for r in got] == [{"@late": "x", "a": ["1", "2"], "b": "y"}, {"a": ["60000"], "c": {"d": "z"}}, {"a": ["7"]}]
         assert got[2]["sub"]["#text"] == "text" and got[1]["sub"]["e"].startswith("n")
+
+
+@pytest.mark.parametrize("late,want", [
+    ("1,2,3\n", [{"a": "1", "b": "2", "field_2": "3"}]),
+    ('1,"x \\"y\\""\n', [{"a": "1", "b": 'x "y"'}]),
+    ('1,"x\ny"\n', [{"a": "1", "b": "x\ny"}]),
+    ('1,x"y, z"\n', [{"a": "1", "b": "xy, z"}]),
+])
+@pytest.mark.parametrize("other_file", [False, True])
+def test_csv_traits_count_wherever_they_stand(spark, tmp_path, late, want, other_file):
+    source = tmp_path / "folder"
+    source.mkdir()
+    first = "a,b\n" + '0,"plain ""text"", quoted"\n' * 12_000
+    assert len(first) > 256 * 1024
+    put(source, first if other_file else first + late, "1.csv")
+    if other_file:
+        put(source, "a,b\n" + late, "2.csv")
+    got = readers.read_csv(spark, str(source))
+    assert rows(got.filter("a <> '0'")) == want and got.count() == 12_001
+    assert rows(got.filter("a = '0'").limit(1)) == [{"a": "0", "b": 'plain "text", quoted'}]
+
+
+def test_plain_csv_is_read_in_splits(spark, tmp_path):
+    got = readers.read_csv(spark, put(tmp_path, 'a,b\n1,"x, ""y"""\n2,\n3\n'))
+    assert "PythonMapInArrow" not in got._jdf.queryExecution().toString() and "MapInArrow" not in got._jdf.queryExecution().toString()
+    assert rows(got) == [{"a": "1", "b": 'x, "y"'}, {"a": "2"}, {"a": "3"}] or rows(got)[0]["b"] == 'x, "y"'
