@@ -1,16 +1,23 @@
 """Main text of web pages by equivalence-class template deduction.
 
-A tag is a token together with the tags around it; text outside articles is
-a token with its whole block. For every host and token, partial aggregates
-give the support (pages), the occurrences, and a fingerprint of the
+A tag is a token together with the tags around it; text is a token with its
+whole block and the tags around it. For every host and token, partial
+aggregates give the support (pages), the occurrences, and a fingerprint of the
 occurrence vector (the sum over pages of a hash of the page times the
 occurrences there). Tokens of one host with the same vector are an
-equivalence class. Classes of enough support are the template's; the one
-whose tokens occur once a page is its trunk, classes that repeat nest in the
-trunk token that encloses them. The slots are what the trunk's tokens
-enclose. The main slot is the deepest container of the trunk that holds most
-of the text that is not of a boilerplate role; what is left of it once
-boilerplate roles and template text are taken out is extracted.
+equivalence class. The class with the greatest support whose tokens occur once
+a page is the template's trunk. A class is valid if it is large enough, its
+tokens come in one order on all pages, and every repetition of it lies between
+the same two trunk tokens, so it is nested there. Text tokens of valid classes
+are template text, inside articles too. The slots are what the template
+encloses, so the text in them varies. The main slot is the outermost article
+that holds most of that text, or else the lowest container of the template
+that encloses all of it that is not of a boilerplate role. What is left of it
+once boilerplate roles and template text are taken out is extracted.
+
+A text counts as template text only if it stands beside different contents
+(told by a page's longest block of text), so copies of one page don't make its
+text a template.
 """
 
 from __future__ import annotations
@@ -27,8 +34,10 @@ from pyspark.sql import functions as F
 from .shared import OWN, materialise, table
 
 TEXT, N_CHARS = OWN + "main", OWN + "n_chars"
-#: Pages of a host from which a template is deduced at least; the share of a host's pages that a template token is in at least; the share of text that the main slot holds at least.
+#: Pages of a host from which a template is deduced at least; the share of a host's pages that a template token is in at least; the share of varying text that an article holds at least to be the main slot.
 LEAST_PAGES, SUPPORT, MAIN_SHARE = 3, 0.5, 0.6
+#: Tokens of a class at least, and of one with text inside articles; bits of the sketch that tells contents apart.
+LEAST_SIZE, LEAST_SIZE_INSIDE, CONTENTS = 2, 3, 63
 
 #: Fixed values of HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -167,12 +176,21 @@ def host(url) -> F.Column:
     return F.lower(F.regexp_extract(F.coalesce(url, F.lit("")), r"^[a-zA-Z][\w+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1))
 
 
+def tokens_of(html: str) -> Iterator[tuple[str, Element, str]]:
+    """The tokens of a page in page order, with their element and text; tags inside blocks are none."""
+    for element, words in blocks(html):
+        if words:
+            yield f"{element.path}#{xxhash.xxh3_64_hexdigest(words)}", element, words
+        elif element.tag not in INLINE:
+            yield element.path, element, ""
+
+
 def occurrences(pages: DataFrame) -> DataFrame:
-    """Of hosts and tokens in a task's batch: pages, occurrences, two sums over pages that fingerprint the occurrence vector, and characters of text inside.
+    """Of hosts and tokens in a task's batch: pages, occurrences, two sums over pages that fingerprint the occurrence vector, characters, and a sketch of the contents they stand beside.
 
     pages has host, page (a hash) and html.
     """
-    shape = "host string, token string, kind string, boilerplate boolean, support long, total long, v1 long, v2 long, chars long"
+    shape = "host string, token string, path string, kind string, boilerplate boolean, inside boolean, support long, total long, v1 long, v2 long, chars long, seen long"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -180,45 +198,89 @@ def occurrences(pages: DataFrame) -> DataFrame:
             for h, page, text in zip(*(c for c in batch.columns)):
                 h, page, text = h.as_py(), page.as_py(), text.as_py() or ""
                 here: dict[tuple, list[int]] = {}
-                for element, words in blocks(text):
-                    if not words:
-                        if element.tag not in INLINE:
-                            here.setdefault((element.path, element.tag, element.boilerplate), [0, 0])[0] += 1
-                        continue
-                    path = element.path
-                    while path:  # the text counts for every element around it
-                        key = (path, path.rpartition("/")[2].partition(".")[0], element.boilerplate)
-                        here.setdefault(key, [0, 0])[1] += len(words)
-                        path = path.rpartition("/")[0]
-                    if not element.main:
-                        here.setdefault((f"{element.path}#{xxhash.xxh3_64_hexdigest(words)}", "#text", element.boilerplate), [0, 0])[0] += 1
+                longest = ""
+                for token, element, words in tokens_of(text):
+                    s = here.setdefault((token, element.path, "#text" if words else element.tag, element.boilerplate, element.main), [0, 0])
+                    s[0] += 1
+                    s[1] += len(words)
+                    if len(words) > len(longest) and not element.boilerplate:
+                        longest = words
                 a, b = page & 0x7FFFFFFF, page >> 32 & 0x7FFFFFFF
+                seen = 1 << xxhash.xxh3_64_intdigest(longest) % CONTENTS
                 for key, (count, chars) in here.items():
-                    s = sums.setdefault((h, *key), [0, 0, 0, 0, 0])
-                    for k, x in enumerate((1 if count else 0, count, a * count, b * count, chars)):
+                    s = sums.setdefault((h, *key), [0, 0, 0, 0, 0, 0])
+                    for k, x in enumerate((1, count, a * count, b * count, chars)):
                         s[k] += x
+                    s[5] |= seen
             if sums:
                 yield pa.RecordBatch.from_arrays([*(pa.array(x) for x in zip(*sums)), *(pa.array(x, pa.int64()) for x in zip(*sums.values()))], names=[c.split(" ")[0] for c in shape.split(", ")])
 
     return pages.mapInArrow(run, shape)
 
 
+def order_of(tokens: list[tuple[str, int]]) -> str | None:
+    """The order in which the tokens of a class (with the gap of the trunk that each is in) come on a page; None if it isn't one order, repeated, each time in the same gap."""
+    names = [t for t, _ in tokens]
+    size = len(set(names))
+    if names != names[:size] * (len(names) // size) or len({g for _, g in tokens}) > 1:
+        return None
+    return f"{xxhash.xxh3_64_hexdigest(chr(10).join(names[:size]))}|{tokens[0][1]}"
+
+
+def orders(pages: DataFrame, classes: DataFrame) -> DataFrame:
+    """host, class and the order (null: none) of its tokens, of all pages that have it. classes has host and known, the tokens and classes of the host; class 0 is the trunk."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found: dict[tuple, None] = {}
+            tables: dict[str, dict[str, int]] = {}
+            for h, text, known in zip(*batch.columns):
+                h = h.as_py()
+                if h not in tables:
+                    tables[h] = {x["token"]: x["class"] for x in known.as_py()}
+                of, parts, gap = tables[h], {}, 0
+                for token, _, _ in tokens_of(text.as_py() or ""):
+                    if (k := of.get(token)) is not None:
+                        gap += k == 0
+                        parts.setdefault(k, []).append((token, 0 if k == 0 else gap))
+                found |= dict.fromkeys((h, k, order_of(x)) for k, x in parts.items() if gap or k == 0)
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*found), (pa.string(), pa.int32(), pa.string()))], names=["host", "class", "order"])
+
+    return pages.select("host", "html").join(classes, "host").mapInArrow(run, "host string, class int, order string")
+
+
 def templates(pages: DataFrame) -> DataFrame:
     """host, main (the path of the main slot, or null) and constant (text tokens of the template) of each host with enough pages. pages has host, page and html."""
-    tokens = occurrences(pages).groupBy("host", "token", "kind", "boilerplate").agg(*(F.sum(c).alias(c) for c in ("support", "total", "v1", "v2", "chars")))
+    key = ["host", "token", "path", "kind", "boilerplate", "inside"]
+    tokens = occurrences(pages).groupBy(*key).agg(*(F.sum(c).alias(c) for c in ("support", "total", "v1", "v2", "chars")), F.bit_or("seen").alias("seen"))
+    tokens = materialise(tokens, "tokens")
     sizes = pages.groupBy("host").agg(F.count(F.lit(1)).alias("pages")).filter(F.col("pages") >= LEAST_PAGES)
-    tokens = tokens.join(sizes, "host")
-    frequent = tokens.filter(F.col("support") >= F.greatest(F.lit(LEAST_PAGES), F.col("pages") * SUPPORT))
-    # equivalence classes: the tokens of a host with one occurrence vector
-    classes = frequent.groupBy("host", "pages", "support", "total", "v1", "v2").agg(F.collect_list(F.struct("token", "kind", "boilerplate", "chars")).alias("tokens"))
-    trunk = classes.filter("total = support").select("host", "pages", "support", F.size("tokens").alias("size"), F.explode("tokens").alias("t"))
-    body = tokens.filter("not boilerplate and kind = 'body'").groupBy("host").agg(F.sum("chars").alias("all"))
-    text = F.col("t.kind") == "#text"
-    article = F.col("t.kind").isin(*MAIN)
-    container = F.col("t.kind").isin(*CONTAINERS) & ~F.col("t.boilerplate") & (F.col("t.chars") >= MAIN_SHARE * F.col("all"))
-    depth = F.length("t.token") - F.length(F.replace("t.token", F.lit("/"), F.lit("")))
-    rank = F.struct(article.alias("a"), F.when(article, -depth).otherwise(depth).alias("d"), F.col("t.chars").alias("c"), F.col("t.token").alias("path"))
-    return trunk.join(body, "host").groupBy("host").agg(F.max(F.when(container, rank))["path"].alias("main"), F.collect_list(F.when(text & (F.col("support") == F.col("pages")), F.col("t.token"))).alias("constant"))
+    sizes = sizes.join(tokens.groupBy("host").agg(F.bit_count(F.bit_or("seen")).alias("contents")), "host")
+    frequent = tokens.join(sizes, "host").filter(F.col("support") >= F.greatest(F.lit(LEAST_PAGES), F.col("pages") * SUPPORT))
+    # equivalence classes: the tokens of a host with one occurrence vector; the trunk is the first
+    member = F.struct("token", "path", "kind", "boilerplate", "inside", (F.bit_count("seen") >= F.greatest(F.lit(2), F.col("contents") * SUPPORT)).alias("varied"))
+    classes = frequent.groupBy("host", "support", "total", "v1", "v2").agg(F.collect_list(member).alias("tokens")).filter(F.size("tokens") >= LEAST_SIZE)
+    rank = F.struct((F.col("total") != F.col("support")).alias("repeats"), (-F.col("support")).alias("s"), (-F.size("tokens")).alias("n"), "v1", "v2", F.col("tokens"))
+    ranked = materialise(classes.groupBy("host").agg(F.sort_array(F.collect_list(rank)).alias("c")).select("host", F.posexplode("c").alias("class", "c")).select("host", "class", "c.repeats", "c.tokens"), "classes")
+    numbered = ranked.select("host", "class", F.explode("tokens.token").alias("token")).groupBy("host").agg(F.collect_list(F.struct("token", "class")).alias("known"))
+    valid = orders(pages, numbered).groupBy("host", "class").agg(F.count(F.when(F.col("order").isNull(), 1)).alias("none"), F.min("order").alias("a"), F.max("order").alias("b")).filter("none = 0 and a = b").select("host", "class")
+    text = ranked.join(valid, ["host", "class"]).select("host", F.size("tokens").alias("size"), F.explode("tokens").alias("t")).filter("t.kind = '#text' and t.varied").filter(~F.col("t.inside") | (F.col("size") >= LEAST_SIZE_INSIDE))
+    text = materialise(text.select("host", F.col("t.token").alias("token")), "constant")
+    # the text in slots, counted for every element around it
+    varying = tokens.filter("kind = '#text' and not boilerplate").join(sizes, "host").join(text, ["host", "token"], "left_anti").groupBy("host", "path").agg(F.sum("chars").alias("chars"))
+    steps = F.split("path", "/")
+    around = F.transform(F.sequence(F.lit(2), F.size(steps)), lambda k: F.array_join(F.slice(steps, F.lit(1), k), "/"))
+    held = varying.filter("path <> ''").select("host", F.explode(around).alias("path"), "chars").groupBy("host", "path").agg(F.sum("chars").alias("chars"))
+    every = varying.groupBy("host").agg(F.sum("chars").alias("all"))
+    article = F.col("kind").isin(*MAIN)
+    holds = F.when(article, F.col("chars") >= MAIN_SHARE * F.col("all")).otherwise(F.col("chars") == F.col("all"))
+    depth = F.size(F.split("path", "/"))
+    best = F.struct(article.alias("a"), F.when(article, -depth).otherwise(depth).alias("d"), F.col("chars").alias("c"), "path")
+    once = frequent.filter((F.col("total") == F.col("support")) & F.col("kind").isin(*CONTAINERS) & ~F.col("boilerplate"))
+    main = once.select("host", "path", "kind").join(held, ["host", "path"]).join(every, "host").filter(holds).groupBy("host").agg(F.max(best)["path"].alias("main"))
+    constant = text.groupBy("host").agg(F.collect_list("token").alias("constant"))
+    return sizes.select("host").join(main, "host", "left").join(constant, "host", "left").select("host", "main", F.coalesce("constant", F.array().cast("array<string>")).alias("constant"))
 
 
 def extract(html: str, main: str | None = None, constant: frozenset[str] = frozenset()) -> str:
@@ -227,7 +289,7 @@ def extract(html: str, main: str | None = None, constant: frozenset[str] = froze
     inside = [(e, t) for e, t in found if main and (e.path + "/").startswith(main + "/")]
     if not inside:
         inside = [(e, t) for e, t in found if e.main] or found
-    return "\n".join(t for e, t in inside if e.main or not constant or f"{e.path}#{xxhash.xxh3_64_hexdigest(t)}" not in constant)
+    return "\n".join(t for e, t in inside if not constant or f"{e.path}#{xxhash.xxh3_64_hexdigest(t)}" not in constant)
 
 
 def extract_main(pages: DataFrame, html: str = "html", url: str = "url", page_id: str = "page_id", keep: list[str] | None = None) -> DataFrame:

@@ -326,3 +326,25 @@ def test_pipeline(spark, tmp_path, vocabulary):
         docs = stage(spark, docs, str(tmp_path))
         assert docs.columns == ["doc_id", "text", "lang", "source", "n_chars"]
     assert corpus_pipeline.STAGES[-1][1](spark, docs.limit(0), str(tmp_path)).count() == 0
+
+
+def _hosted(spark, bodies):
+    df = spark.createDataFrame([(i, f"https://h.example/{i}", f"<html><body>{b}</body></html>") for i, b in enumerate(bodies)], "page_id long, url string, html string").repartition(3)
+    return [r[html_extract.TEXT] for r in html_extract.extract_main(df).orderBy("page_id").collect()]
+
+
+def test_html_template_text_in_articles_is_dropped_by_class(spark):
+    # two adverts on as many pages each, but not the same ones: only the vectors tell their classes apart; headings that pages share are no class
+    advert = lambda k: f"<div class=x{'ab'[k]}><h4>Buy {k}</h4><p>Now {k}</p></div>"
+    own = [f"Own text {i} of the page, longer than all the rest {i * i}" for i in range(12)]
+    bodies = [f"<article><p>{t}</p>{advert(0) if i < 8 else ''}<p>Notice of the host</p>{advert(1) if i >= 4 else ''}<p>Intro</p>{'<p>Intro</p>' * (i % 2)}</article>" for i, t in enumerate(own)]
+    assert _hosted(spark, bodies) == ["\n".join([t, *["Intro"] * (1 + i % 2)]) for i, t in enumerate(own)]
+    # copies of one page are no template
+    copy = "<article><h1>Title</h1><p>The same text on all these pages</p></article>"
+    assert _hosted(spark, [copy] * 5) == ["Title\nThe same text on all these pages"] * 5
+
+
+def test_html_main_slot_encloses_all_varying_text(spark):
+    body = lambda i: " ".join(f"w{i * 7 + k}" for k in range(40))
+    bodies = [f"<div class=top>Same top</div><div class=post><h1>Title {i}</h1><div class=lead>Lead {i}</div><div class=body><p>{body(i)}</p></div></div><div class=end>Same end</div>" for i in range(8)]
+    assert _hosted(spark, bodies) == [f"Title {i}\nLead {i}\n{body(i)}" for i in range(8)]
