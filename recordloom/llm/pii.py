@@ -53,6 +53,7 @@ PHONE = re.compile(r"(?<![\w.+])(?:\+\d{1,3}[ .-]?(?:\(\d{1,5}\)[ .-]?)?\d{2,5}(
 SSN = re.compile(r"(?<![\w.-])\d{3}-\d{2}-\d{4}(?![\w-])")
 IBAN = re.compile(r"\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?!\w)")
 NAME = re.compile(r"(?<!\w)(?:(?:" + "|".join(sorted(MALE + FEMALE + NEUTRAL, key=len, reverse=True)) + r")\.?[ \xa0])+((?:[^\W\d_a-z]\w+(?:-[^\W\d_]\w+)*)(?:[ \xa0][^\W\d_a-z]\w+(?:-[^\W\d_]\w+)*)?)")
+WORD = re.compile(r"(?<!\w)[^\W\d_]+(?!\w)")
 #: Without these, a text has no entity but names; without the last, no name.
 DIGIT, ADDRESS = re.compile(r"[0-9]"), re.compile(r"(?<!\w)(?:" + "|".join(MALE + FEMALE + NEUTRAL) + r")\b")
 
@@ -70,7 +71,11 @@ def digits_of(value: str) -> str:
 
 
 def find(text: str) -> list[tuple[int, int, str, str]]:
-    """Entities of a text: start, end, kind and normal form, in order, not overlapping; the earlier and then the longer one wins."""
+    """Entities of a text: start, end, kind and normal form, in order, not overlapping; the earlier and then the longer one wins.
+
+    A name is one after a form of address, and every other capitalised word
+    of the text with the same normal form.
+    """
     found = []
     if "@" in text:
         found += [(m.start(), m.end(), "email", m[0].lower()) for m in EMAIL.finditer(text)]
@@ -83,9 +88,15 @@ def find(text: str) -> list[tuple[int, int, str, str]]:
         found += [(m.start(), m.end(), "phone", "+" * m[0].startswith("+") + digits_of(m[0])) for m in PHONE.finditer(text) if 7 <= len(digits_of(m[0])) <= 15]
         found += [(m.start(), m.end(), "iban", v) for m in IBAN.finditer(text) if 15 <= len(v := m[0].replace(" ", "")) <= 34 and iban_ok(v)]
     if ADDRESS.search(text):
+        names = {}
         for m in NAME.finditer(text):
             for word in re.finditer(r"[^\W\d_]+", m[1]):
-                found.append((m.start(1) + word.start(), m.start(1) + word.end(), "name", word[0].lower()))
+                names[m.start(1) + word.start()] = word[0]
+        known = {x.lower() for x in names.values()}
+        for word in WORD.finditer(text) if known else ():
+            if word[0][0].isupper() and word[0].lower() in known:
+                names[word.start()] = word[0]
+        found += [(at, at + len(x), "name", x.lower()) for at, x in names.items()]
     out, last = [], 0
     for e in sorted(found, key=lambda e: (e[0], -e[1])):
         if e[0] >= last:
@@ -234,9 +245,10 @@ def pseudonymise(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", ke
     """The columns in keep (all by default) with TEXT and ENTITIES (kind, start and end of each surrogate in TEXT).
 
     Emails, secrets, IPv4 addresses, card numbers (that pass Luhn's check),
-    IBANs, phone and social security numbers, and names after a form of
-    address are replaced; all else stays as it is, and so do texts without
-    them. Names keep the last letter, which marks gender in many languages,
+    IBANs, phone and social security numbers, and names are replaced; all
+    else stays as it is, and so do texts without them. A name is known by a
+    form of address before one of its mentions in the text; all its other
+    capitalised mentions there are replaced alike. Names keep the last letter, which marks gender in many languages,
     and the form of address. Null stays null, empty empty. Rows are rewritten
     one by one with the surrogates of the whole corpus, so repeated rows get
     equal texts; ids may be null. An empty table gives no rows; other columns

@@ -348,3 +348,13 @@ def test_html_main_slot_encloses_all_varying_text(spark):
     body = lambda i: " ".join(f"w{i * 7 + k}" for k in range(40))
     bodies = [f"<div class=top>Same top</div><div class=post><h1>Title {i}</h1><div class=lead>Lead {i}</div><div class=body><p>{body(i)}</p></div></div><div class=end>Same end</div>" for i in range(8)]
     assert _hosted(spark, bodies) == [f"Title {i}\nLead {i}\n{body(i)}" for i in range(8)]
+
+
+def test_pii_bare_mentions_of_a_name():
+    text = "Weber kam. Frau Weber-Lindt und Dr. Weber: WEBER, Weber's weber Webern. Lindt@a.example Anna"
+    new, spans = pii.replaced(text, b"k", {})
+    name, other = re.search(r"Frau (\w+)-(\w+)", new).groups()
+    assert new.startswith(f"{name} kam. Frau {name}-{other} und Dr. {name}: {name.upper()}, {name}'s weber Webern. ") and new.endswith(" Anna")
+    assert "Weber" not in new.replace("Webern", "") and name != "Weber" and other != "Lindt"
+    assert [s["kind"] for s in spans] == ["name"] * 6 + ["email"]
+    assert pii.replaced("Weber kam.", b"k", {})[0] == "Weber kam."
