@@ -5,6 +5,7 @@ import numpy as np
 import pytest
 
 from recordloom.llm import components, minhash
+from recordloom.llm.shared import materialise
 
 TR = {i: i + 32 for i in range(65, 91)}
 
@@ -65,19 +66,52 @@ def test_against_brute_force(docs_of, size, similar):
     assert [(got[i]["n"], got[i]["component"]) for i in range(len(texts))] == list(zip(map(len, sets), want))
 
 
-def test_large_buckets_without_links(docs_of, monkeypatch):
-    """More members than are compared pair by pair, in several groups."""
-    monkeypatch.setattr(minhash, "PIVOTS", 2)
-    texts = corpus(9)
+def test_pools_of_paragraphs(docs_of):
+    """Documents that draw 12 of the same 20 paragraphs meet in every bucket, but hardly any two are linked."""
+    rng = random.Random(4)
+    paragraphs = [" ".join("".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(30)) for _ in range(20)]
+    drawn = list({tuple(sorted(rng.sample(range(20), 12))) for _ in range(600)})
+    texts = ["\n".join(paragraphs[k] for k in ks) for ks in drawn]
+    members = materialise(minhash.sketch(docs_of(texts), "text", "doc_id", 3, 5), "pool")
+    live = members.selectExpr("node", "key", "n", "node as group")
+    keyed = docs_of(texts).selectExpr("doc_id as node", "xxhash64(text) as key", "text")
+    pairs, costs = minhash.remaining(live, keyed, 3, (85, 100))
+    met = costs.selectExpr("sum(least(prefix, band)) as n").first()["n"]
+    assert met < 40 * len(texts) and pairs.count() < 5 * len(texts)
     got = {r["node"]: r["component"] for r in minhash.near_dedup(docs_of(texts), size=3, similar=(85, 100)).collect()}
     assert [got[i] for i in range(len(texts))] == groups_of(sets_of(texts, 3), 85, 100)
 
 
+def test_edits_of_one_text_meet_over_rare_shingles(docs_of):
+    """Texts that share most of one text without being linked: the rarest shingles leave hardly a pair; no linked pair is lost."""
+    rng = random.Random(6)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(5))
+    base = [word() for _ in range(150)]
+    texts = []
+    for k in range(300):
+        new = list(base)
+        for _ in range(rng.choice([2, 4, 8, 12])):
+            new[rng.randrange(150)] = word()
+        texts.append(" ".join(new[: rng.choice([150, 150, 130])]))
+    sets = sets_of(texts, 3)
+    linked = {(a, b) for b in range(300) for a in range(b) if 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b])}
+    live = minhash.sketch(docs_of(texts), "text", "doc_id", 3, 5).selectExpr("node", "key", "n", "node as group")
+    keyed = docs_of(texts).selectExpr("doc_id as node", "xxhash64(text) as key", "text")
+    pairs, costs = minhash.remaining(live, keyed, 3, (85, 100))
+    found = {(r["a"], r["b"]) for r in pairs.collect()}
+    assert linked <= found and len(found) < 4 * len(linked)
+    got = {r["node"]: r["component"] for r in minhash.near_dedup(docs_of(texts), size=3, similar=(85, 100)).collect()}
+    assert [got[i] for i in range(300)] == groups_of(sets, 85, 100)
+
+
 def test_keep_one(docs_of, spark):
     texts = ["a b c d e f g h", "A b c d e f g h", None, "", "q"]
     assert sorted(r["doc_id"] for r in minhash.keep_one(docs_of(texts, extra=True)).collect()) == [0, 2, 3, 4]
     odd = spark.createDataFrame([(None, "a b c d e f g h"), (3, "a b c d e f g h"), (3, "a b c d e f g h"), (None, "zz")], "doc_id long, text string")
     assert minhash.near_dedup(odd).count() == 4
+    assert sorted(map(str, (r["doc_id"] for r in minhash.keep_one(odd).collect()))) == ["3", "None"]
+    twice = spark.createDataFrame([(7, "c"), (7, "c"), (None, "d"), (None, "d"), (8, None), (8, None)], "doc_id long, text string")
+    assert sorted(map(str, (r["doc_id"] for r in minhash.keep_one(twice).collect()))) == ["7", "8", "None"]
     assert minhash.near_dedup(docs_of([])).count() == 0
 
 
@@ -98,6 +132,7 @@ def test_superminhash_estimates_and_stops_early():
 
 def test_bands():
     assert minhash.rows_in_band((85, 100)) == 5 and minhash.rows_in_band((80, 100)) == 4
+    assert minhash.rows_in_band((85, 100), minhash.WIDE) == 15 and minhash.rows_in_band((80, 100), minhash.WIDE) == 12
 
 
 @pytest.mark.parametrize("most", [500_000, 7])
