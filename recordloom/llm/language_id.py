@@ -1,7 +1,7 @@
 """Language identification: multinomial naive Bayes over hashed character n-grams.
 
-Counts are gathered by every task for its own rows, added up in two steps
-(salted, then whole), and only the table of log-probabilities, whose size is
+Counts are gathered by every task for its own rows, added up in three steps,
+and only the table of log-probabilities, whose size is
 fixed by the parameters, goes to the driver and back out as a broadcast.
 """
 
@@ -11,19 +11,17 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import regex
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import OWN, crc_mod, table
+from .shared import OWN, crc_mod, partial_sums, summed, table
 from .textkit import _LOWER, Chunk, chunks
 
 #: Buckets of n-grams (a power of two), orders of n-grams, added to each count; languages at most, which bounds the broadcast.
 BUCKETS, ORDERS, SMOOTHING, MOST_LANGS = 1 << 15, (1, 2, 3), 0.5, 256
-SLICE, SALT = 4096, 64
+SLICE = 4096
 LANG, SCORE = OWN + "lang", OWN + "score"
 _FACTORS = (0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D, 0x27D4EB2F, 0x165667B1)
 _LETTER = regex.compile(r"\p{L}")
@@ -121,26 +119,17 @@ def fit(docs: DataFrame, text: str = "text", lang: str = "lang", buckets: int =
                     sums = np.bincount(key + np.repeat(code * buckets, np.diff(first)), minlength=len(distinct) * buckets).reshape(-1, buckets)
                     for name, x in zip(distinct, sums):
                         counts[name][k] += x
-        part = TaskContext.get().partitionId() % SALT
         for name, x in counts.items():
             flat = x.ravel()
-            parts = range(0, len(flat), SLICE)
-            yield pa.RecordBatch.from_pydict(
-                {"lang": [name] * len(parts), "slice": pa.array([i // SLICE for i in parts], pa.int32()), "salt": pa.array([part] * len(parts), pa.int32()), "counts": [flat[i : i + SLICE].tobytes() for i in parts]}
-            )
-
-    def add(pdf: pd.DataFrame) -> pd.DataFrame:
-        total = sum(np.frombuffer(x, np.int64) for x in pdf["counts"])
-        return pdf.head(1).assign(counts=[total.tobytes()])
-
-    shape = "lang string, slice int, salt int, counts binary"
-    sums = rows.mapInArrow(count, shape).groupBy("lang", "slice", "salt").applyInPandas(add, shape).groupBy("lang", "slice").applyInPandas(add, shape)
-    got = sums.select("lang", "slice", "counts").toPandas()
+            cuts = range(0, len(flat), SLICE)
+            yield partial_sums({"lang": [name] * len(cuts), "slice": [i // SLICE for i in cuts]}, [flat[i : i + SLICE] for i in cuts])
+
+    got = summed(rows.mapInArrow(count, "lang string, slice long, task int, width int, sums binary"), ["lang", "slice"]).toPandas()
     docs_of = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).limit(MOST_LANGS + 1).collect()}
     langs = sorted(docs_of)
     if len(langs) > MOST_LANGS:
         raise ValueError(f"more than {MOST_LANGS} languages")
-    flat = {name: np.concatenate([np.frombuffer(x, np.int64) for x in part.sort_values("slice")["counts"]]) for name, part in got.groupby("lang")}
+    flat = {name: np.concatenate([np.frombuffer(x, f"i{w}") for w, x in part.sort_values("slice")[["width", "sums"]].itertuples(index=False)]) for name, part in got.groupby("lang")}
     counts = np.array([flat[x].reshape(len(orders), buckets) for x in langs], float).reshape(len(langs), len(orders), buckets) + smoothing
     weights = np.log(counts / counts.sum(2, keepdims=True)).transpose(1, 0, 2).copy() if langs else np.zeros((len(orders), 0, buckets))
     prior = np.log(np.array([docs_of[x] for x in langs], float) / max(1, sum(docs_of.values())))
