@@ -3,8 +3,8 @@
 Random indexing: every word has a sparse random index vector, given by its
 hash; a word's vector is the sum of the index vectors of its neighbours over
 the whole corpus. Words share a fixed number of buckets, so that the table of
-vectors has a fixed size: tasks add up their own, salted groups and then all
-of them are summed, and the driver gets one table. Labels are learned from a
+vectors has a fixed size: tasks add up their own, these are summed in three
+steps, and the driver gets one table. Labels are learned from a
 bounded sample of rows.
 """
 
@@ -14,20 +14,18 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import OWN, crc_mod, table
+from .shared import OWN, crc_mod, partial_sums, summed, table
 from .textkit import U64, Chunk, chunks, mix, words
 
 #: Buckets of words, dimensions, non-zeros of an index vector, neighbours on either side.
 BUCKETS, DIMENSIONS, NONZEROS, REACH = 1 << 14, 32, 2, 2
 #: Labelled rows that the network is fitted to at most (about, by a hash of the id); its hidden units and passes.
 MOST_LABELLED, HIDDEN, PASSES = 20_000, 32, 60
-SLICE, SALT, POOL_BYTES = 1 << 15, 64, 1 << 20
+SLICE, POOL_BYTES = 1 << 15, 1 << 20
 SCORE = OWN + "quality"
 THRESHOLD = 0.3
 
@@ -70,18 +68,11 @@ def word_vectors(docs: DataFrame, text: str = "text", buckets: int = BUCKETS, di
                     for word, near in ((left, right), (right, left)):
                         for k in range(NONZEROS):
                             total += np.bincount(word * dimensions + place[near, k], sign[near, k], buckets * dimensions)
-        part = TaskContext.get().partitionId() % SALT
         cuts = range(0, len(total), SLICE)
-        yield pa.RecordBatch.from_pydict({"slice": pa.array([i // SLICE for i in cuts], pa.int32()), "salt": pa.array([part] * len(cuts), pa.int32()), "sums": [total[i : i + SLICE].astype(np.int64).astype(np.int32).tobytes() if abs(total).max() < 1 << 31 else total[i : i + SLICE].astype(np.int64).tobytes() for i in cuts]})
+        yield partial_sums({"slice": [i // SLICE for i in cuts]}, [total[i : i + SLICE] for i in cuts])
 
-    def add(pdf: pd.DataFrame) -> pd.DataFrame:
-        total = sum(np.frombuffer(x, np.int32 if len(x) == 4 * SLICE else np.int64).astype(np.int64) for x in pdf["sums"])
-        return pdf.head(1).assign(sums=[total.tobytes()])
-
-    shape = "slice int, salt int, sums binary"
-    sums = rows.mapInArrow(run, shape).groupBy("slice", "salt").applyInPandas(add, shape).groupBy("slice").applyInPandas(add, shape)
-    got = sums.toPandas().sort_values("slice")
-    flat = np.concatenate([np.zeros(0, np.int64), *(np.frombuffer(x, np.int64) for x in got["sums"])])
+    got = summed(rows.mapInArrow(run, "slice long, task int, width int, sums binary"), ["slice"]).toPandas().sort_values("slice")
+    flat = np.concatenate([np.zeros(0, np.int64), *(np.frombuffer(x, f"i{w}") for w, x in zip(got["width"], got["sums"]))])
     out = (flat if len(flat) else np.zeros(buckets * dimensions)).reshape(buckets, dimensions).astype(float)
     length = np.sqrt((out**2).sum(1, keepdims=True))
     return (out / np.where(length > 0, length, 1)).astype(np.float32)
