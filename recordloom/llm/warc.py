@@ -52,7 +52,9 @@ def roles(pages: DataFrame, html: str = "html", page_id: str = "page_id", least:
         .filter("n > 1")
         .drop("n")
     )
-    got = pages.withColumn(OWN + "sha", long).join(largest, OWN + "sha", "left")
+    # what can't be a copy gets keys of its own, so that it isn't all dealt to one task
+    alone = F.concat(F.lit("-"), F.xxhash64(page_id, html, *(c for c in pages.columns if c not in (page_id, html))))
+    got = pages.withColumn(OWN + "sha", F.coalesce(long, alone)).join(largest, OWN + "sha", "left")
     other = F.col(OWN + "largest") != F.col(page_id)
     return got.select(
         *pages.columns,
@@ -111,11 +113,10 @@ def write_warc(pages: DataFrame, path: str, html: str = "html", url: str = "url"
         if out is not None:
             out.close()
             store.move(name + ".tmp", name)
-            yield pa.RecordBatch.from_pydict({"path": [name], "bytes": [size], "records": [count]})
+            yield pa.RecordBatch.from_pydict({"path": [name[len(folder) + 1 :]], "bytes": [size], "records": [count]})
 
-    return materialise(rows.mapInArrow(run, "path string, bytes long, records long"), "archives").select(
-        F.concat(F.lit(path.split(":")[0] + "://"), "path").alias("path") if ":" in path else "path", "bytes", "records"
-    )
+    got = materialise(rows.mapInArrow(run, "path string, bytes long, records long"), "archives")
+    return got.select(F.concat(F.lit(path.rstrip("/") + "/"), "path").alias("path"), "bytes", "records")
 
 
 class Members:
