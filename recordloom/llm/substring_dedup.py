@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import OWN, materialise, table
+from .shared import OWN, discard, materialise, table
 from .textkit import NOT_SPACE, U64, Chunk, Sequences, Words, chunks, ranges, words
 
 #: Words of a window (the least repeat) and of a seed.
@@ -122,16 +122,20 @@ def marks(rows: DataFrame, window: int, seed: int) -> DataFrame:
     windows = materialise(extend(rows.join(wanted, ["doc", "sum"]).select("doc", "text", "found"), window), "windows")
     first = windows.groupBy("seed", "value").agg(F.min("doc").alias("first"), F.max("doc").alias("last")).filter("first < last").drop("last")
     masks = windows.join(first, ["seed", "value"]).filter("first < doc").groupBy("seed", "stretch").agg(F.bit_or(F.expr("shiftleft(1L, cast(k AS int))")).alias("mask"))
-    stretches = stretches.select("seed", "stretch", F.col("doc").alias("first")).join(masks, ["seed", "stretch"], "left")
+    # written, so that both sides of the next join are shuffled for it and Spark can split a stretch that very many documents have
+    judged = materialise(stretches.select("seed", "stretch", F.col("doc").alias("first")).join(masks, ["seed", "stretch"], "left"), "judged")
+    discard(shared, stretches, windows)
     owned = F.expr(f"shiftleft(1L, cast(place & {(1 << _OWNS) - 1} AS int)) - 1")
-    got = found.join(stretches, ["seed", "stretch"]).select(
+    got = found.join(judged, ["seed", "stretch"]).select(
         "doc",
         F.expr(f"shiftright(place, {_AT})").alias("sum"),
         F.expr(f"shiftright(place, {_OWNS}) & {(1 << _AT - _OWNS) - 1}").alias("at"),
         F.when(F.col("doc") > F.col("first"), owned).otherwise(F.coalesce("mask", F.lit(0))).alias("mask"),
     )
     got = got.filter("mask <> 0").groupBy("doc", "sum").agg(F.collect_list(F.struct("at", "mask")).alias("marks"))
-    return materialise(got, "marks")
+    got = materialise(got, "marks")
+    discard(found, judged)
+    return got
 
 
 def remove(w: Words, gone: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
