@@ -3,10 +3,13 @@
 The documents are cut into shards (chunks of whole documents inside a task).
 Each shard gets a suffix array over its words; every suffix of every
 benchmark item is binary-searched in it, which gives all places where the
-suffix's window occurs. A suffix of a document that can't hold a whole window
-of benchmark vocabulary can't match and is left out of the array, so that the
-array is sparse but complete. The benchmark is the query set: it is taken in
-blocks of bounded size, each broadcast and run against all documents.
+suffix's window occurs. There the two texts are compared further, by bisection
+over hashes of ranges of words, so each place has its longest verbatim match.
+A suffix of a document that can't hold a whole window of benchmark vocabulary
+can't match and is left out of the array, so that the array is sparse but
+complete. The benchmark is the query set: it is taken in blocks of bounded
+size, each broadcast and run against all documents; between blocks the
+documents are written, so one block is in memory at a time.
 """
 
 from __future__ import annotations
@@ -17,13 +20,18 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .shared import OWN, table
-from .textkit import ALNUM, U64, Chunk, chunks, ranges, words
+from .shared import OWN, discard, materialise, table
+from .textkit import ALNUM, U64, Chunk, Sequences, chunks, ranges, words
 
 #: Words of a window; bytes of benchmark text that are broadcast at once; bytes of text in a shard.
 WINDOW, BLOCK_BYTES, SHARD_BYTES = 10, 32 << 20, 4 << 20
-N_WORDS, N_HIT, LONGEST, SPANS, ITEMS = (OWN + x for x in ("n_words", "n_hit", "longest", "spans", "items"))
+N_WORDS, N_HIT, LONGEST, SPANS, ITEMS, MATCHES = (OWN + x for x in ("n_words", "n_hit", "longest", "spans", "items", "matches"))
+_SPAN = pa.struct([("first", pa.int64()), ("last", pa.int64())])
+_MATCH = pa.struct([("item_id", pa.string()), ("at", pa.int64()), ("first", pa.int64()), ("words", pa.int64())])
+KINDS = pa.schema([(N_WORDS, pa.int64()), (N_HIT, pa.int64()), (LONGEST, pa.int64()), (SPANS, pa.list_(_SPAN)), (ITEMS, pa.list_(pa.string())), (MATCHES, pa.list_(_MATCH))])
+_FOUND = f"{SPANS} array<struct<first:long,last:long>>, {ITEMS} array<string>, {MATCHES} array<struct<item_id:string,at:long,first:long,words:long>>"
 
 
 def packed(ids: np.ndarray, per: int) -> list[np.ndarray]:
@@ -58,11 +66,11 @@ def bisect(keys: list[np.ndarray], wanted: list[np.ndarray], right: bool) -> np.
 
 
 class Queries:
-    """The suffixes of a block of benchmark items: each one's window (its first words), and its item."""
+    """The suffixes of a block of benchmark items: each one's window (its first words), its item, and that item's words."""
 
     def __init__(self, item_ids: list[str], texts: pa.Array, window: int):
-        self.window = window
-        hashes, starts, sizes, items = [np.zeros(0, U64)], [], [], []
+        self.window, self.sequences = window, None
+        hashes, starts, sizes, items, firsts, ends = [np.zeros(0, U64)], [], [], [], [], []
         base = 0
         for chunk in chunks(texts):
             w = words(chunk, ALNUM, lower=True)
@@ -73,8 +81,10 @@ class Queries:
                     starts.append(base + w.first[row] + np.arange(n - size + 1))
                     sizes.append(np.full(n - size + 1, size))
                     items.append(np.full(n - size + 1, chunk.lo + row))
+                    firsts.append(np.full(n - size + 1, base + w.first[row]))
+                    ends.append(np.full(n - size + 1, base + w.first[row + 1]))
             base += len(w.hash)
-        hashes = np.concatenate(hashes)
+        self.hashes = hashes = np.concatenate(hashes)
         self.vocabulary = np.unique(hashes)
         self.seen = np.zeros(1 << 16, bool)
         self.seen[(self.vocabulary >> U64(48)).astype(np.int64)] = True
@@ -82,11 +92,11 @@ class Queries:
         if not starts:
             self.size = np.zeros(0, np.int64)
             return
-        start, self.size, self.item = (np.concatenate(x) for x in (starts, sizes, items))
+        self.start, self.size, self.item, self.first, self.end = (np.concatenate(x) for x in (starts, sizes, items, firsts, ends))
         self.least = int(self.size.min())
         self.per = next(n for n in (4, 3, 2, 1) if len(self.vocabulary) + 2 < 1 << (64 // n) or n == 1)
         ids = np.searchsorted(self.vocabulary, hashes).astype(U64) + U64(1)
-        at = np.minimum(start[:, None] + np.arange(window), len(ids) - 1)
+        at = np.minimum(self.start[:, None] + np.arange(window), len(ids) - 1)
         short = np.arange(window) >= self.size[:, None]
         self.low = packed(np.where(short, U64(0), ids[at]), self.per)
         self.high = packed(np.where(short, U64((1 << (64 // self.per)) - 1), ids[at]), self.per)
@@ -102,8 +112,25 @@ class Queries:
         return out
 
 
-def search(queries: Queries, chunk: Chunk) -> tuple[np.ndarray, np.ndarray, dict[int, tuple[int, list, list[str]]]]:
-    """Of each row of a shard its words and hit words; of rows with hits the longest run, the runs (first and last word) and the items."""
+def longest(queries: Queries, of: np.ndarray, own: Sequences, place: np.ndarray, most: np.ndarray) -> np.ndarray:
+    """How many words agree from each place of a shard and from the suffix `of` that has its window there; most: words up to the end of the row."""
+    if queries.sequences is None:
+        queries.sequences = Sequences(queries.hashes)
+    start = queries.start[of]
+    lo, hi = queries.size[of].copy(), np.minimum(most, queries.end[of] - start)
+    while (open_ := lo < hi).any():
+        middle = np.where(open_, (lo + hi + 1) >> 1, lo)
+        same = own.of(place, middle) == queries.sequences.of(start, middle)
+        lo, hi = np.where(open_ & same, middle, lo), np.where(open_ & ~same, middle - 1, hi)
+    return lo
+
+
+def in_order(match: tuple[str, int, int, int]) -> tuple[int, str, int]:
+    return match[2], match[0], match[1]
+
+
+def search(queries: Queries, chunk: Chunk) -> tuple[np.ndarray, np.ndarray, dict[int, tuple[list, list[str], list]]]:
+    """Of each row of a shard its words and hit words; of rows with hits the runs (first and last word), the items and the maximal matches."""
     w = words(chunk, ALNUM, lower=True)
     rows, n = chunk.hi - chunk.lo, len(w.hash)
     n_words, n_hit = np.diff(w.first), np.zeros(rows, np.int64)
@@ -131,8 +158,8 @@ def search(queries: Queries, chunk: Chunk) -> tuple[np.ndarray, np.ndarray, dict
     maybe, lo, count = maybe[found], lo[found], (hi - lo)[found]
     if not len(maybe):
         return n_words, n_hit, {}
-    place = array[ranges(lo, count)]
-    size, item = np.repeat(queries.size[maybe], count), np.repeat(queries.item[maybe], count)
+    place, of = array[ranges(lo, count)], np.repeat(maybe, count)
+    size, item, start = queries.size[of], queries.item[of], queries.start[of]
     change = np.bincount(place, minlength=n + 1) - np.bincount(place + size, minlength=n + 1)
     hit = np.zeros(n + 2, bool)
     hit[1:-1] = np.cumsum(change[:n]) > 0
@@ -143,12 +170,21 @@ def search(queries: Queries, chunk: Chunk) -> tuple[np.ndarray, np.ndarray, dict
     first = np.flatnonzero(hit[1:-1] & (~hit[:-2] | cut[:n]))
     last = np.flatnonzero(hit[1:-1] & (~hit[2:] | cut[1:]))
     pairs = np.unique(np.stack([row[place], item], 1), axis=0)
+    # a match that the word before prolongs is part of the one that begins there
+    whole = cut[place] | (start == queries.first[of]) | (w.hash[place - 1] != queries.hashes[start - 1])
+    place, of, item, start = place[whole], of[whole], item[whole], start[whole]
+    length = longest(queries, of, Sequences(w.hash), place, w.first[row[place] + 1] - place)
+    order = np.argsort(place, kind="stable")
+    matches = np.stack([item, start - queries.first[of], place - w.first[row[place]], length], 1)[order]
+    of_row = row[place][order]
     out = {}
     for r in np.flatnonzero(n_hit):
         a, b = np.searchsorted(first, w.first[r]), np.searchsorted(first, w.first[r + 1])
         runs = np.stack([first[a:b], last[a:b]], 1) - w.first[r]
         c, d = np.searchsorted(pairs[:, 0], [r, r + 1])
-        out[int(r)] = int((runs[:, 1] - runs[:, 0]).max()) + 1, runs.tolist(), sorted({queries.item_ids[i] for i in pairs[c:d, 1]})
+        e, f = np.searchsorted(of_row, [r, r + 1])
+        own = [(queries.item_ids[i], at, begin, size) for i, at, begin, size in matches[e:f].tolist()]
+        out[int(r)] = runs.tolist(), sorted({queries.item_ids[i] for i in pairs[c:d, 1]}), sorted(own, key=in_order)
     return n_words, n_hit, out
 
 
@@ -174,49 +210,61 @@ def united(runs: list[list[int]]) -> list[list[int]]:
 
 
 def find(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_text: str = "text", item_id: str = "item_id", window: int = WINDOW, keep: list[str] | None = None, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """Every document with its words, hit words, longest run of hit words, the runs (numbers of first and last word) and the items found.
+    """Every document with its words, hit words, the runs of hit words (numbers of first and last word), the items found, the maximal matches and the words of the longest.
 
     The columns in keep (all by default) are passed on. A window is `window`
     consecutive words of an item, or the whole item if it has fewer; words
     are maximal runs of ASCII letters (lowered), digits and non-ASCII
-    characters. Null texts have no words; items without words or without an
-    id match nothing; rows of one item_id with different texts are windows of
-    the same item. An empty benchmark hits nothing; empty documents give no
-    rows. Rows are judged one by one, so repeated rows get equal results.
+    characters. A match is a verbatim passage of an item that holds a window
+    and can't be prolonged on either side: the item, the number of its first
+    word there and in the document, and how many words. Null texts have no
+    words; items without words or without an id match nothing; rows of one
+    item_id with different texts are windows of the same item. An empty
+    benchmark hits nothing; empty documents give no rows. Rows are judged one
+    by one, so repeated rows get equal results. With a benchmark of several
+    blocks, all columns of docs are written to the shared folder after each
+    block but the last.
     """
     own = OWN + "text"
-    kinds = pa.schema([(N_WORDS, pa.int64()), (N_HIT, pa.int64()), (LONGEST, pa.int64()), (SPANS, pa.list_(pa.struct([("first", pa.int64()), ("last", pa.int64())]))), (ITEMS, pa.list_(pa.string()))])
-    keep = [c for c in docs.columns if c not in (own, *kinds.names)] if keep is None else keep
-    got = docs.select(*keep, F.lit(None).cast(f"struct<{SPANS}:array<struct<first:long,last:long>>,{ITEMS}:array<string>>").alias(OWN + "was"), F.col(text).alias(own))
+    keep = [c for c in docs.columns if c not in (own, *KINDS.names)] if keep is None else keep
+    got = docs.select(*keep, F.lit(None).cast(f"struct<{_FOUND.replace(' array', ':array')}>").alias(OWN + "was"), F.col(text).alias(own))
+    previous = None
     for queries, last in blocks(benchmark, item_text, item_id, window, block_bytes):
         held = docs.sparkSession.sparkContext.broadcast(queries)
-        typed = got.select(*keep).withColumns({c: F.lit(0).cast("long") for c in kinds.names[:3]})
-        typed = typed.withColumn(SPANS, F.lit(None).cast("array<struct<first:long,last:long>>")).withColumn(ITEMS, F.lit(None).cast("array<string>"))
-        got = got.mapInArrow(_searcher(held, keep, kinds, last), (typed if last else typed.withColumn(own, F.lit(None).cast("string"))).schema)
+        counts = ", ".join(f"{c} long" for c in KINDS.names[:3])
+        found = T.StructType.fromDDL(f"{counts}, {_FOUND}" + ("" if last else f", {own} string"))
+        got = got.mapInArrow(_searcher(held, keep, last), T.StructType(got.select(*keep).schema.fields + found.fields))
         if not last:
-            got = got.select(*keep, F.struct(SPANS, ITEMS).alias(OWN + "was"), own)
+            got = materialise(got.select(*keep, F.struct(SPANS, ITEMS, MATCHES).alias(OWN + "was"), own), "block")
+            held.destroy()
+            if previous is not None:
+                discard(previous)
+            previous = got
     return got
 
 
-def _searcher(held, keep: list[str], kinds: pa.Schema, last: bool):
+def _searcher(held, keep: list[str], last: bool):
     n = len(keep)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out: list[list] = [[], [], [], [], []]
+            out: list[list] = [[] for _ in KINDS.names]
             was = batch.column(n)
             for chunk in chunks(batch.column(n + 1), SHARD_BYTES):
                 n_words, n_hit, found = search(held.value, chunk)
                 for row, (total, hit) in enumerate(zip(n_words.tolist(), n_hit.tolist())):
-                    longest, runs, items = found.get(row, (0, [], []))
-                    if (before := was[chunk.lo + row].as_py()) is not None:
+                    runs, items, matches = found.get(row, ([], [], []))
+                    if was.null_count < len(was) and (before := was[chunk.lo + row].as_py())[SPANS]:
                         runs = united(runs + [[x["first"], x["last"]] for x in before[SPANS]])
                         items = sorted({*items, *before[ITEMS]})
-                        hit, longest = sum(b - a + 1 for a, b in runs), max((b - a + 1 for a, b in runs), default=0)
-                    for column, value in zip(out, (total, hit, longest, [{"first": a, "last": b} for a, b in runs], items)):
+                        matches = sorted(matches + [tuple(m.values()) for m in before[MATCHES]], key=in_order)
+                        hit = sum(b - a + 1 for a, b in runs)
+                    most = max((m[3] for m in matches), default=0)
+                    spans = [{"first": a, "last": b} for a, b in runs]
+                    for column, value in zip(out, (total, hit, most, spans, items, [dict(zip(("item_id", "at", "first", "words"), m)) for m in matches])):
                         column.append(value)
-            arrays = [*batch.columns[:n], *(pa.array(c, f.type) for c, f in zip(out, kinds))]
-            names = [*keep, *kinds.names]
+            arrays = [*batch.columns[:n], *(pa.array(c, f.type) for c, f in zip(out, KINDS))]
+            names = [*keep, *KINDS.names]
             if not last:
                 arrays, names = [*arrays, batch.column(n + 1)], [*names, OWN + "text"]
             yield pa.RecordBatch.from_arrays(arrays, names=names)
