@@ -1,13 +1,15 @@
-"""Personal data replaced by surrogates: keyed, of the same type and format, distinct where the originals are, equal where they are equal.
-
-A surrogate comes from a keyed cipher that keeps every symbol in its class
-(digits stay digits, vowels vowels of the same script, and so on), so formats,
-scripts and lengths stay, one entity gets one surrogate in all documents, and
-no two entities of one format get the same. What the cipher can't rule out is
-checked over the table of all distinct entities: a surrogate that is a real
-entity of the corpus, or that another format arrives at too, is drawn again
-with the next attempt. Only these exceptions are looked up when documents are
-rewritten; all other surrogates are computed where they are needed.
+"""Personal data replaced by surrogates: keyed, of the same type, gender, script and format, distinct where the originals are, equal where they are equal.
+
+A name's surrogate is drawn, by a keyed hash, from syllables of its script and
+endings of its gender and role. All others come from a keyed cipher that keeps
+every symbol in its class (digits stay digits, vowels vowels of the same
+script, and so on), so formats and lengths stay and no two entities of one
+format get the same. One entity gets one surrogate in all documents. What this
+can't rule out is checked over the table of all distinct entities: a surrogate
+that is a real entity of the corpus, or that another one arrives at too, is
+drawn again with the next attempt. Only these exceptions are looked up when
+documents are rewritten; all other surrogates are computed where they are
+needed. Who has the key can undo the cipher, so it is for the caller to keep.
 """
 
 from __future__ import annotations
@@ -25,9 +27,10 @@ from .shared import OWN, materialise, table
 from .textkit import chunks
 
 TEXT, ENTITIES = OWN + "surrogated", OWN + "entities"
-KEY = b"recordloom"
-#: Attempts after which a name grows by a letter, and after which an entity is an error.
-GROW, MOST_ATTEMPTS = 4, 64
+#: The key of the registered query, which is a test.
+TEST_KEY = b"key of the test query"
+#: Attempts after which a name grows by a syllable, and after which an entity is an error.
+GROW, MOST_ATTEMPTS = 2, 64
 
 #: Symbol classes of the cipher, and forms of address by gender.
 ALPHABETS = [
@@ -43,6 +46,31 @@ ALPHABETS = [
 MALE = "Mr Herr Señor Sr Monsieur Signor г-н".split()
 FEMALE = "Mrs Ms Miss Frau Señora Sra Señorita Madame Mme Mademoiselle Signora г-жа".split()
 NEUTRAL = "Dr Prof".split()
+#: Those that count with a full stop only, since without one they stand for other things too.
+DOTTED = "Sr Sra".split()
+#: Of each script the first syllables of a name, further ones, and endings: of given names (male, female, either) and of family names (male, female, either).
+SYLLABLES = {
+    "latin": (
+        "Al Bel Cor Dan El Fer Gal Hel Il Jor Kal Lor Mar Nor Ol Per Quin Ros Sel Tor Ul Val Wil Yor Zan".split(),
+        "ba be da di fa ga la le li lo ma me mi na ne ra re ri ro sa ta ti va vi".split(),
+        {"mg": "no ro rik mond ton bert".split(), "fg": "na lia rine tta bella sa".split(), "ng": "ren lin kim ris nel".split(), "ms": "son man ner ford wick".split(), "fs": "ley sen land worth mer".split(), "ns": "berg stein dell ham ton".split()},
+    ),
+    "cyrillic": (
+        "Ал Бор Вад Гер Дан Ев Зах Иль Кор Лев Мар Ник Ол Пет Род Сав Тим Фед".split(),
+        "ба ва да ди ка ла ле ли ма ми на не ра ри са та".split(),
+        {"mg": "мир слав рий тан дим".split(), "fg": "мира слава рия лина на".split(), "ng": "ша ня ли".split(), "ms": "нов лев ров нин".split(), "fs": "нова лева рова нина".split(), "ns": "ко нко ян дзе".split()},
+    ),
+    "greek": (
+        "Αλ Βασ Γερ Δαμ Ευ Ζην Ηλ Θαλ Κων Λεων Μαρ Νικ Παυλ Σταμ Φιλ".split(),
+        "βα δα κα λα λε λι μα μι να νι ρα ρι σα τα".split(),
+        {"mg": "νος ρης μος".split(), "fg": "να ρα νη".split(), "ng": "λι νε".split(), "ms": "πουλος κης δης".split(), "fs": "πουλου κη δου".split(), "ns": "λα νου".split()},
+    ),
+    "han": (
+        list("王李张刘陈杨赵黄周吴徐孙"),
+        list("文志海春建国家永金玉"),
+        {"mg": list("伟强磊军勇杰"), "fg": list("芳娜敏静丽艳"), "ng": list("平宁安"), "ms": list("山川林"), "fs": list("梅云花"), "ns": list("方石田")},
+    ),
+}
 PUBLIC_OCTETS = [x for x in range(1, 224) if x not in (10, 100, 127, 169, 172, 192, 198, 203)]
 
 EMAIL = re.compile(r"(?<![\w.@+-])\w[\w.+-]*@(?:[^\W_](?:[\w-]*[^\W_])?\.)+[^\W\d_]{2,}(?![\w@])")
@@ -52,7 +80,8 @@ CARD = re.compile(r"(?<![\w.])\d(?:[ -]?\d){12,18}(?![\w]|\.\d)")
 PHONE = re.compile(r"(?<![\w.+])(?:\+\d{1,3}[ .-]?(?:\(\d{1,5}\)[ .-]?)?\d{2,5}(?:[ .-]?\d{2,5}){1,4}|\(\d{3}\) ?\d{3}[ .-]\d{4}|\d{3}[.-]\d{3}[.-]\d{4})(?![\w]|[.-]\d)")
 SSN = re.compile(r"(?<![\w.-])\d{3}-\d{2}-\d{4}(?![\w-])")
 IBAN = re.compile(r"\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?!\w)")
-NAME = re.compile(r"(?<!\w)(?:(?:" + "|".join(sorted(MALE + FEMALE + NEUTRAL, key=len, reverse=True)) + r")\.?[ \xa0])+((?:[^\W\d_a-z]\w+(?:-[^\W\d_]\w+)*)(?:[ \xa0][^\W\d_a-z]\w+(?:-[^\W\d_]\w+)*)?)")
+_TITLES = "|".join(t + (r"\." if t in DOTTED else r"\.?") for t in sorted(MALE + FEMALE + NEUTRAL, key=len, reverse=True))
+NAME = re.compile(r"(?<!\w)((?:(?:" + _TITLES + r")[ \xa0])+)((?:[^\W\d_a-z]\w+(?:-[^\W\d_]\w+)*)(?:[ \xa0][^\W\d_a-z]\w+(?:-[^\W\d_]\w+)*)?)")
 WORD = re.compile(r"(?<!\w)[^\W\d_]+(?!\w)")
 #: Without these, a text has no entity but names; without the last, no name.
 DIGIT, ADDRESS = re.compile(r"[0-9]"), re.compile(r"(?<!\w)(?:" + "|".join(MALE + FEMALE + NEUTRAL) + r")\b")
@@ -70,12 +99,44 @@ def digits_of(value: str) -> str:
     return "".join(c for c in value if c.isdigit())
 
 
-def find(text: str) -> list[tuple[int, int, str, str]]:
-    """Entities of a text: start, end, kind and normal form, in order, not overlapping; the earlier and then the longer one wins.
+def names(text: str) -> list[tuple[int, int, str, str]]:
+    """Names of a text as entities: each word after a form of address, and every other capitalised word with the same letters.
 
-    A name is one after a form of address, and every other capitalised word
-    of the text with the same normal form.
+    The normal form is the gender (m, f or n for neither), the role (g: given,
+    s: family) and the lowered word. The gender is that of the form of
+    address. Other mentions have the one gender that the word has in the text;
+    if it has both there, that of the nearest mention with a form of address
+    before it, or else of the first.
     """
+    titled, given = {}, set()
+    for m in NAME.finditer(text):
+        forms = {t.strip(". ") for t in m[1].replace("\xa0", " ").split()}
+        gender = "m" if forms & set(MALE) else "f" if forms & set(FEMALE) else "n"
+        parts = list(re.finditer(r"[^\W\d_]+", m[2]))
+        blank = re.search(r"[ \xa0]", m[2])
+        for part in parts:
+            titled[m.start(2) + part.start()] = part[0], gender
+            if blank and part.start() < blank.start():
+                given.add(part[0].lower())
+    if not titled:
+        return []
+    by_word: dict[str, list[tuple[int, str]]] = {}
+    for at, (word, gender) in sorted(titled.items()):
+        if gender != "n":
+            by_word.setdefault(word.lower(), []).append((at, gender))
+    known = {word.lower() for word, _ in titled.values()}
+    places = {at: word for at, (word, _) in titled.items()}
+    places |= {m.start(): m[0] for m in WORD.finditer(text) if m[0][0].isupper() and m[0].lower() in known}
+    out = []
+    for at, word in places.items():
+        told = by_word.get(word.lower(), [(0, "n")])
+        gender = next((g for place, g in reversed(told) if place <= at), told[0][1])
+        out.append((at, at + len(word), "name", f"{gender}{'g' if word.lower() in given else 's'}|{word.lower()}"))
+    return out
+
+
+def find(text: str) -> list[tuple[int, int, str, str]]:
+    """Entities of a text: start, end, kind and normal form, in order, not overlapping; the earlier and then the longer one wins."""
     found = []
     if "@" in text:
         found += [(m.start(), m.end(), "email", m[0].lower()) for m in EMAIL.finditer(text)]
@@ -88,15 +149,7 @@ def find(text: str) -> list[tuple[int, int, str, str]]:
         found += [(m.start(), m.end(), "phone", "+" * m[0].startswith("+") + digits_of(m[0])) for m in PHONE.finditer(text) if 7 <= len(digits_of(m[0])) <= 15]
         found += [(m.start(), m.end(), "iban", v) for m in IBAN.finditer(text) if 15 <= len(v := m[0].replace(" ", "")) <= 34 and iban_ok(v)]
     if ADDRESS.search(text):
-        names = {}
-        for m in NAME.finditer(text):
-            for word in re.finditer(r"[^\W\d_]+", m[1]):
-                names[m.start(1) + word.start()] = word[0]
-        known = {x.lower() for x in names.values()}
-        for word in WORD.finditer(text) if known else ():
-            if word[0][0].isupper() and word[0].lower() in known:
-                names[word.start()] = word[0]
-        found += [(at, at + len(x), "name", x.lower()) for at, x in names.items()]
+        found += names(text)
     out, last = [], 0
     for e in sorted(found, key=lambda e: (e[0], -e[1])):
         if e[0] >= last:
@@ -130,13 +183,33 @@ def letters(key: bytes, label: str, value: str, fixed: set[int] = frozenset()) -
     return "".join(out)
 
 
+def script_of(word: str) -> str:
+    for script, low, high in (("cyrillic", "\u0400", "\u052f"), ("greek", "\u0370", "\u03ff"), ("han", "\u3400", "\u9fff")):
+        if low <= word[0] <= high:
+            return script
+    return "latin"
+
+
+def name_of(key: bytes, value: str, attempt: int) -> str:
+    """A name of the same script, gender and role; longer from attempt to attempt, so that there are always more."""
+    first, further, endings = SYLLABLES[script_of(value[3:])]
+    tables = [first, *[further] * (1 + attempt // GROW), endings[value[:2]]]
+    stream = hashlib.blake2b(f"name|{attempt}|{value}".encode(), key=key).digest()
+    while len(stream) < 2 * len(tables):
+        stream += hashlib.blake2b(stream, key=key).digest()
+    return "".join(t[int.from_bytes(stream[2 * k : 2 * k + 2], "big") % len(t)] for k, t in enumerate(tables)).lower()
+
+
 def surrogate(key: bytes, kind: str, value: str, attempt: int = 0) -> str:
-    """The surrogate of a normal form, itself a normal form of the same kind."""
+    """The surrogate of a normal form, itself a normal form of the same kind (of a name: the word alone)."""
     label = f"{kind}|{attempt}"
     if kind == "email":
+        # one domain has one surrogate, whatever stands before it
         local, _, domain = value.rpartition("@")
         name, dot, top = domain.rpartition(".")
-        return letters(key, label, f"{local}@{name}") + dot + top
+        return letters(key, f"{label}|{domain}", local) + "@" + letters(key, "domain", name) + dot + top
+    if kind == "name":
+        return name_of(key, value, attempt)
     if kind == "ip":
         octets = [int(x) for x in value.split(".")]
         sets = [PUBLIC_OCTETS if octets[0] in PUBLIC_OCTETS else [octets[0]], range(256) if octets[0] in PUBLIC_OCTETS or octets[0] in (10, 127) else [octets[1]], range(256), range(256)]
@@ -152,9 +225,6 @@ def surrogate(key: bytes, kind: str, value: str, attempt: int = 0) -> str:
     if kind == "phone" and value.startswith("+"):
         country = 2 if value[1] in "17" else 3
         return value[:country] + letters(key, label + value[:country], value[country:])
-    if kind == "name":
-        grown = "n" * max(0, attempt - GROW + 1)
-        return letters(key, label, value, {len(value) - 1} if len(value) > 2 else frozenset())[:-1] + grown + value[-1] if len(value) > 2 else letters(key, label, value) + grown
     if kind == "secret" and re.fullmatch(r"[0-9a-f]+", value):
         new = cipher(key, label, [int(c, 16) for c in value], [16] * len(value))
         return "".join("0123456789abcdef"[x] for x in new)
@@ -220,7 +290,8 @@ def drawn(entities: DataFrame, key: bytes, attempt: int) -> DataFrame:
 
 def exceptions(entities: DataFrame, key: bytes) -> DataFrame | None:
     """kind, value and attempt of the entities whose first surrogate collides; None if there are none. entities has distinct kinds and values."""
-    real = entities.select("kind", F.col("value").alias("new"))
+    word = F.when(F.col("kind") == "name", F.substring("value", 4, 1 << 30)).otherwise(F.col("value"))
+    real = entities.select("kind", word.alias("new"))
     open_, taken, settled, attempt = entities, None, None, 0
     while True:
         got = materialise(drawn(open_, key, attempt), "drawn")
@@ -241,15 +312,16 @@ def exceptions(entities: DataFrame, key: bytes) -> DataFrame | None:
             raise ValueError("entities are left without a surrogate of their own")
 
 
-def pseudonymise(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", key: bytes = KEY, keep: list[str] | None = None) -> DataFrame:
+def pseudonymise(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", *, key: bytes, keep: list[str] | None = None) -> DataFrame:
     """The columns in keep (all by default) with TEXT and ENTITIES (kind, start and end of each surrogate in TEXT).
 
     Emails, secrets, IPv4 addresses, card numbers (that pass Luhn's check),
     IBANs, phone and social security numbers, and names are replaced; all
     else stays as it is, and so do texts without them. A name is known by a
-    form of address before one of its mentions in the text; all its other
-    capitalised mentions there are replaced alike. Names keep the last letter, which marks gender in many languages,
-    and the form of address. Null stays null, empty empty. Rows are rewritten
+    form of address before one of its mentions in the text, which stays; all
+    its other capitalised mentions there are replaced alike (see names()). The
+    addresses of one domain keep one domain. key (at most 64 bytes) makes the
+    surrogates; equal keys give equal ones. Null stays null, empty empty. Rows are rewritten
     one by one with the surrogates of the whole corpus, so repeated rows get
     equal texts; ids may be null. An empty table gives no rows; other columns
     are passed on as they are.
@@ -257,6 +329,7 @@ def pseudonymise(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", ke
     keep = [c for c in docs.columns if c not in (TEXT, ENTITIES)] if keep is None else keep
     check = F.xxhash64(F.col(text))
     found = mentions(docs.select(F.col(doc_id).cast("long").alias("doc"), check.alias("sum"), F.col(text).alias("text")))
+    found = materialise(found, "found")
     entities = materialise(found.select("kind", "value").distinct(), "entities")
     other = exceptions(entities, key)
     rows = docs.select(*keep, F.coalesce(F.col(doc_id).cast("long"), F.lit(-1)).alias(OWN + "doc"), check.alias(OWN + "sum"), F.col(text).alias(OWN + "text"))
@@ -287,5 +360,5 @@ def pseudonymise(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", ke
 
 
 def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    got = pseudonymise(table(spark, sf_dir, "documents").select("doc_id", "text"), keep=["doc_id"])
+    got = pseudonymise(table(spark, sf_dir, "documents").select("doc_id", "text"), key=TEST_KEY, keep=["doc_id"])
     return got.select("doc_id", F.col(TEXT).alias("text"), F.size(ENTITIES).cast("long").alias("n_entities"), F.col(ENTITIES).alias("entities"))
