@@ -51,6 +51,9 @@ BOILERPLATE_NAMES = frozenset(
     "ad ads advert adverts advertisement advertising adsense banner breadcrumb breadcrumbs comment comments commentlist consent cookie cookies disclaimer disqus footer header masthead "
     "menu nav navbar navigation newsletter notice notices popup promo promoted promotion related reply replies respond share sharing sidebar signup social sponsor sponsored subscribe toolbar widget".split()
 )
+#: Words that begin a name which tells what stands beside or around; words with which a header or footer is a part of the content.
+BESIDE = frozenset("has with without no not is layout".split())
+OF_CONTENT = frozenset("article chapter content entry post section story title".split())
 #: A start of one of these ends an open element of the same set, up to the nearest of the second set.
 CLOSES = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"table", "tr"}), "th": ({"td", "th"}, {"table", "tr"}), "option": ({"option"}, {"select"})}
 
@@ -73,17 +76,29 @@ class Element:
 ROOT = Element("", "", False, False)
 
 
+def tells_boilerplate(value: str, inside_main: bool) -> bool:
+    """Whether a class or id names boilerplate. A header or footer of an article doesn't, nor does a name like has-sidebar."""
+    for name in value.split():
+        parts = _PART.findall(name)
+        found = BOILERPLATE_NAMES.intersection(parts)
+        if found and parts[0] not in BESIDE and not (found <= {"header", "footer"} and (inside_main or not OF_CONTENT.isdisjoint(parts))):
+            return True
+    return False
+
+
 def opened(tag: str, rest: str, parent: Element) -> Element:
     """An element; its path has the tags around it, each with the parts of its class, id and role."""
-    names, roles = [], False
+    names, roles, named = [], False, False
+    main = parent.main or tag in MAIN
     if rest and "=" in rest:
         for m in _ATTRIBUTE.finditer(rest):
             value = (m[2] or m[3] or m[4] or "").lower()
             if m[1].lower() == "role":
                 roles |= value.strip() in BOILERPLATE_ROLES
+            else:
+                named = named or tells_boilerplate(value, main)
             names += _PART.findall(value)
-    main = parent.main or tag in MAIN
-    boilerplate = parent.boilerplate or tag in BOILERPLATE or roles or (tag == "header" and not parent.main) or (tag not in ("html", "body") and not BOILERPLATE_NAMES.isdisjoint(names))
+    boilerplate = parent.boilerplate or tag in BOILERPLATE or roles or (tag == "header" and not parent.main) or (tag not in ("html", "body") and named)
     return Element(tag, f"{parent.path}/{tag}" + "".join("." + n for n in sorted(set(names))), boilerplate, main)
 
 

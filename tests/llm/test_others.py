@@ -31,13 +31,46 @@ def test_exact_dedup(spark):
 def test_digest_index_persists(spark):
     path = new_path(spark, "index")
     docs = lambda rows: spark.createDataFrame(rows, "doc_id long, text string")
+    rows = lambda x: exact_dedup.digests(docs(x), "text", "doc_id")
     one = exact_dedup.DigestIndex(spark, path, 4)
-    one.add(docs([(5, "x"), (6, "y")]))
-    two = exact_dedup.DigestIndex(spark, path, 4)
-    two.add(docs([(1, "x"), (2, "z"), (3, "z")]))
-    assert sorted(r[exact_dedup.KEEP] for r in two.read().collect()) == [2, 5, 6]
-    plan = two.read().groupBy(exact_dedup.DIGEST).count()._jdf.queryExecution().executedPlan().toString()
+    one.add(rows([(5, "x"), (6, "y")]))
+    two = exact_dedup.DigestIndex(spark, path)
+    new, known = two.split(rows([(1, "x"), (2, "z"), (3, "z")]))
+    assert [r[exact_dedup.KEEP] for r in new.collect()] == [2] and [r[exact_dedup.KEEP] for r in known.collect()] == [1]
+    plan = new._jdf.queryExecution().executedPlan().toString()
+    join = plan[plan.index("SortMergeJoin") :].partition("Initial Plan")[0]
+    assert "LeftAnti" in join and join.count("Exchange") == 1 and "Bucketed: true" in join
+    two.add(rows([(1, "x"), (2, "z"), (3, "z"), (9, "z  ")]))
+    got = {r[exact_dedup.KEEP]: r[exact_dedup.SIZE] for r in two.read().collect()}
+    assert got == {5: 2, 6: 1, 9: 3}
+    plan = two.read()._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan and "Bucketed: true" in plan
+    with pytest.raises(ValueError):
+        exact_dedup.DigestIndex(spark, path, 7)
+    spark.conf.set("spark.sql.shuffle.partitions", "3")
+    try:
+        exact_dedup.DigestIndex(spark, path).add(rows([(7, "y"), (8, "w")]))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+    last = exact_dedup.DigestIndex(spark, path)
+    assert {r[exact_dedup.KEEP]: r[exact_dedup.SIZE] for r in last.read().collect()} == {5: 2, 6: 2, 8: 1, 9: 3}
+    # an increment that has no mark doesn't count
+    last.marks += "-lost"
+    last._mark("done-0-0")
+    assert {r[exact_dedup.KEEP] for r in last.read().collect()} == {5, 6}
+    assert not [t for t in spark.catalog.listTables() if "digests" in t.name]
+
+
+def test_second_batch(spark):
+    path = new_path(spark, "index")
+    docs = lambda rows: spark.createDataFrame(rows, "doc_id long, text string")
+    take = lambda x: sorted((r["doc_id"], r[exact_dedup.KEEP], r[exact_dedup.SIZE], r[OWN + "kept"]) for r in exact_dedup.exact_dedup(docs(x), path=path).collect())
+    assert take([(5, "x"), (6, "y"), (7, "y")]) == [(5, 5, 1, True), (6, 6, 2, True), (7, 6, 2, False)]
+    assert take([(1, "x"), (2, "x "), (3, "z"), (4, "z ")]) == [(1, 5, 3, False), (2, 5, 3, False), (3, 4, 2, False), (4, 4, 2, True)]
+    assert [r["doc_id"] for r in exact_dedup.keep_first(docs([(8, "y"), (9, "new"), (9, "new")]), path=path).collect()] == [9]
+    odd = docs([(7, "c"), (7, "c"), (None, "d"), (None, "d"), (8, "a\tb"), (8, "a b")])
+    assert sorted(str(r["doc_id"]) for r in exact_dedup.keep_first(odd).collect()) == ["7", "8", "None"]
+    assert exact_dedup.keep_first(odd.limit(0)).count() == 0
 
 
 # BPE
@@ -120,11 +153,33 @@ def test_decontamination(spark, docs_of):
                     found |= windows[tuple(w[s : s + n])]
                     hit |= set(range(s, s + n))
         want.append((len(w), len(hit), sorted(found)))
+
+    def maximal(t, k, item):
+        w, v = find(t), find(item)
+        for a in range(len(w)):
+            for b in range(len(v)):
+                if not (a and b and w[a - 1] == v[b - 1]):
+                    n = next((x for x in range(min(len(w) - a, len(v) - b)) if w[a + x] != v[b + x]), min(len(w) - a, len(v) - b))
+                    if n >= min(10, len(v)):
+                        yield a, str(k), b, n
+
     bench = spark.createDataFrame(items, "item_id long, text string")
     for block in (1 << 20, 60):  # one block, and many
         got = {r["doc_id"]: r for r in decontaminate.find(docs_of(texts, extra=True), bench, block_bytes=block).collect()}
         assert [(got[i][decontaminate.N_WORDS], got[i][decontaminate.N_HIT], got[i][decontaminate.ITEMS]) for i in range(len(texts))] == want
         assert all(sum(s["last"] - s["first"] + 1 for s in r[decontaminate.SPANS]) == r[decontaminate.N_HIT] for r in got.values())
+        for i, t in enumerate(texts):
+            every = sorted(m for k, item in items if k is not None for m in maximal(t, k, item))
+            assert [(m["first"], m["item_id"], m["at"], m["words"]) for m in got[i][decontaminate.MATCHES]] == every
+            assert got[i][decontaminate.LONGEST] == max((m[3] for m in every), default=0)
+        plan = decontaminate.find(docs_of(texts), bench, block_bytes=block)._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("MapInArrow") == 1
+    # two items side by side are two matches
+    x, y = (" ".join(f"{c}{k}" for k in range(12)) for c in "xy")
+    both = spark.createDataFrame([(1, x), (2, y)], "item_id long, text string")
+    row = decontaminate.find(docs_of([f"{x} {y}"]), both).first()
+    assert [(m["item_id"], m["first"], m["words"]) for m in row[decontaminate.MATCHES]] == [("1", 0, 12), ("2", 12, 12)] and row[decontaminate.LONGEST] == 12
+    assert row[decontaminate.SPANS] == [(0, 23)]
     assert all(r[decontaminate.N_HIT] == 0 for r in decontaminate.find(docs_of(texts), bench.limit(0)).collect())
     assert decontaminate.find(docs_of([]), bench).count() == 0
 
@@ -173,6 +228,8 @@ def test_html_blocks():
     assert html_extract.extract("") == "" and html_extract.extract("<p>x") == "x" and html_extract.extract("plain a < b") == "plain a < b"
     assert html_extract.extract("<article><p title='a > b'>x</p><p title=it's>y</p></article>") == "x\ny"
     assert html_extract.extract("<body><!-- open") == ""
+    assert html_extract.extract('<div class="layout has-sidebar"><article><div class="entry-header"><h1>T</h1></div><p>x</p></article><div class="sidebar">no</div></div>') == "T\nx"
+    assert html_extract.extract('<div class="post-header">T</div><p>x</p><div class="site-header">no</div><div id="footer">no</div>') == "T\nx"
 
 
 def test_html_templates(spark):
@@ -246,7 +303,9 @@ def test_pii_rules():
     assert values[0].lower() == values[1].lower() and values[0][0].isupper()
     assert pii.digits_of(values[2]) == pii.digits_of(values[3]) and re.fullmatch(r"\+1 \(\d{3}\) \d{3}-\d{4}", values[2])
     assert pii.luhn(pii.digits_of(values[4])) and values[4].count(" ") == 3
-    assert values[8] == values[7].upper() and values[7][-1] == "r"
+    # a woman and a man of one name in one text are two
+    assert values[8].isupper() and values[8] != values[7].upper() and values[7][1:].islower()
+    assert values[0].rpartition("@")[2].lower() == values[1].rpartition("@")[2]
     assert pii.iban_ok(values[9].replace(" ", ""))
     assert [s["kind"] for s in spans] == [k for _, k in found] == [e[2] for e in pii.find(new)]
     assert pii.replaced(text, b"other", {})[0] != new
@@ -260,7 +319,7 @@ def test_pii_is_a_bijection_and_checked(spark, docs_of):
     rng = random.Random(1)
     names = sorted({rng.choice("bcdfg") .upper() + rng.choice("aeiou") for _ in range(200)})
     texts = [f"Mr {a} met Mr {b}" for a in names for b in names[:3]] + [None, "", "clean text"]
-    got = {r["doc_id"]: r for r in pii.pseudonymise(docs_of(texts, extra=True)).collect()}
+    got = {r["doc_id"]: r for r in pii.pseudonymise(docs_of(texts, extra=True), key=b"k").collect()}
     mapping = {}
     for i, t in enumerate(texts):
         if not t or t == "clean text":
@@ -270,7 +329,7 @@ def test_pii_is_a_bijection_and_checked(spark, docs_of):
         for a, b in zip(old, new):
             assert mapping.setdefault(a, b) == b
     assert len(set(mapping.values())) == len(names) and not set(mapping.values()) & set(names)
-    assert pii.pseudonymise(docs_of([])).count() == 0
+    assert pii.pseudonymise(docs_of([]), key=b"k").count() == 0
 
 
 # quality
@@ -358,3 +417,41 @@ def test_pii_bare_mentions_of_a_name():
     assert "Weber" not in new.replace("Webern", "") and name != "Weber" and other != "Lindt"
     assert [s["kind"] for s in spans] == ["name"] * 6 + ["email"]
     assert pii.replaced("Weber kam.", b"k", {})[0] == "Weber kam."
+
+
+def test_pii_gender_and_script():
+    ends = lambda script, tag: tuple(pii.SYLLABLES[script][2][tag])
+    new, _ = pii.replaced("Mr Smith met Mrs Smith. Smith said hello; John Smith left. Mr John Smith and Prof Lee; Sr Developer, Sr. Gómez", b"k", {})
+    he, she, last, john, again, full, family, lee, dev, gomez = re.fullmatch(r"Mr (\w+) met Mrs (\w+)\. (\w+) said hello; (\w+) (\w+) left\. Mr (\w+) (\w+) and Prof (\w+); Sr (\w+), Sr\. (\w+)", new).groups()
+    assert last == again == she != he == family and john == full and dev == "Developer"
+    assert he.endswith(ends("latin", "ms")) and she.endswith(ends("latin", "fs")) and john.endswith(ends("latin", "mg")) and lee.endswith(ends("latin", "ns")) and gomez != "Gómez"
+    new, _ = pii.replaced("г-н Иванов и г-жа Анна Петрова; Петрова, Mme 李娜", b"k", {})
+    he, anna, she, again, han = re.fullmatch(r"г-н (\w+) и г-жа (\w+) (\w+); (\w+), Mme (\w+)", new).groups()
+    assert he.endswith(ends("cyrillic", "ms")) and anna.endswith(ends("cyrillic", "fg")) and she.endswith(ends("cyrillic", "fs")) and she == again and "\u3400" <= han[0] <= "\u9fff"
+
+
+def test_pii_against_brute_force(spark, docs_of):
+    """Distinctness, coreference and no original left, over texts that share entities."""
+    rng = random.Random(7)
+    word = lambda: "".join(rng.choice("bdfgklm") + rng.choice("aeiou") for _ in range(3)).capitalize()
+    people = [(rng.choice(["Mr", "Mrs", "Herr", "Frau"]), word(), word()) for _ in range(60)]
+    mails = [f"{word().lower()}@{d}.example" for d in ("one", "two", "three") for _ in range(15)]
+    texts, used = [], []
+    for _ in range(120):
+        title, given, family = rng.choice(people)
+        mail = rng.choice(mails)
+        texts.append(f"{title} {given} {family} wrote from {mail}. Then {given} left, and {family.upper()} was gone; {mail.upper()}")
+        used.append((title, given, family, mail))
+    texts += [None, "", "nothing here " * 20_000]
+    got = {r["doc_id"]: r[pii.TEXT] for r in pii.pseudonymise(docs_of(texts, extra=True), key=b"another").collect()}
+    assert [got[i] for i in range(120, 123)] == texts[120:]
+    originals = {x.lower() for t, g, f, m in used for x in (g, f, m)}
+    seen, back = {}, {}
+    for i, (title, given, family, mail) in enumerate(used):
+        g, f, m, g2, f2, m2 = re.fullmatch(rf"{title} (\w+) (\w+) wrote from (\S+)\. Then (\w+) left, and (\w+) was gone; (\S+)", got[i]).groups()
+        assert (g2, f2, m2) == (g, f.upper(), m.upper())
+        gender = "mf"[title in ("Mrs", "Frau")]
+        for old, new in (((gender, "given", given), g), ((gender, "family", family), f), (mail, m), ("domain " + mail.rpartition("@")[2], m.rpartition("@")[2])):
+            assert seen.setdefault(old, new) == new and back.setdefault(new, old) == old
+            assert new.lower() not in originals
+    assert not any(re.search(rf"\b{x}\b", t.lower()) for x in originals for t in (got[i] for i in range(120)))
