@@ -14,7 +14,7 @@ from collections.abc import Mapping
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..errors import ExpressionError
+from ..errors import ExpressionError, TransformError, failure
 from .values import Value, finite
 
 _TOKEN = re.compile(r'\s*(?:(?P<text>"(?:[^"\\]|\\.)*")|(?P<number>[0-9][0-9.]*)|(?P<name>[A-Za-z_][A-Za-z0-9_]*)|(?P<sign>[(),+*/-])|(?P<end>$))', re.S)
@@ -27,7 +27,7 @@ _ENDS = r"^[\s\x{85}\p{Z}]+|[\s\x{85}\p{Z}]+$"
 
 
 def fail(what: str) -> Column:
-    return F.raise_error(F.lit(what))
+    return failure(TransformError, what)
 
 
 def _tokens(source: str) -> list[tuple[str, str]]:

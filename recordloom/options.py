@@ -49,12 +49,11 @@ class CsvOptions:
 
 @dataclass(frozen=True)
 class XmlOptions:
-    """record None: found in a sample. split: read large files in splits with Spark's own source."""
+    """record None: found in a sample."""
 
     record: str | None = None
     attributes: bool = True
     trim: bool = True
-    split: bool = False
 
 
 @dataclass(frozen=True)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import time
 from dataclasses import dataclass, replace
 from pathlib import PurePosixPath
@@ -10,7 +11,7 @@ from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..errors import ConfigError
+from ..errors import ConfigError, ConvertError, of_spark
 from ..operators.transform import TransformPlan, augmented_variant
 from ..options import ConverterConfig, CsvOptions, Transform, XmlOptions, format_name
 from ..scratch import scratch_path
@@ -41,22 +42,46 @@ def file_type(fmt: str) -> dict:
 
 @dataclass(frozen=True)
 class Stats:
-    """What one run did. Bytes are sizes of files; records are those written."""
+    """What one run did. Bytes and files are those in the file system; records are those written; plan_seconds is the time before the first record is written (samples, schemas)."""
 
     bytes_in: int
     bytes_out: int
     records: int
     seconds: float
+    files_in: int = 0
+    files_out: int = 0
+    plan_seconds: float = 0.0
 
     @property
     def mb_per_second(self) -> float:
         return self.bytes_in / 2**20 / self.seconds if self.seconds else 0.0
 
+    @property
+    def write_seconds(self) -> float:
+        return self.seconds - self.plan_seconds
 
-def bytes_of(spark: SparkSession, path: str) -> int:
+
+def size_of(spark: SparkSession, path: str) -> tuple[int, int]:
+    """Bytes and number of the files at a path."""
     where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     store = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    return sum(store.getContentSummary(s.getPath()).getLength() for s in (store.globStatus(where) or ()))
+    found = [store.getContentSummary(s.getPath()) for s in (store.globStatus(where) or ())]
+    return sum(x.getLength() for x in found), sum(x.getFileCount() for x in found)
+
+
+def bytes_of(spark: SparkSession, path: str) -> int:
+    return size_of(spark, path)[0]
+
+
+@contextlib.contextmanager
+def own_errors():
+    """Errors of queries as errors of this package, where they are."""
+    try:
+        yield
+    except Exception as error:
+        if (own := of_spark(error)) is not None and not isinstance(error, ConvertError):
+            raise own from error
+        raise
 
 
 class Converter:
@@ -84,27 +109,72 @@ class Converter:
         return self.plan.compile(df)
 
     def convert(self, path: str, variant: bool = False) -> DataFrame:
-        """The converted records as a DataFrame."""
+        """The converted records as a DataFrame: typed columns, or one VARIANT column `record` with each record's own keys and types."""
         return self.transformed(self.records(path, variant))
 
-    def run(self, source: str, target: str, single_file: bool = False, variant: bool = False, mode: str = "errorifexists") -> Stats:
-        """Converts files to a folder of files and counts the records on the way."""
+    def input_format(self, path: str) -> str:
+        if self.config.input != "auto":
+            return self.config.input
+        found = detect.detect_structure(detect.read_sample(self.spark, path))
+        if found is None:
+            raise ConfigError(f"the format of {path} is unknown")
+        return found.format
+
+    def texts(self, path: str, variant: bool | None = None) -> DataFrame | None:
+        """Rows of text of the output (a column `value`) where records needn't have columns: JSON or NDJSON from anything but CSV, unless variant is False.
+
+        Without a transform a record's text is passed on as it is; with one, a
+        record keeps its own keys and types. None where columns are needed.
+        """
+        c, fmt = self.config, self.input_format(path)
+        if variant is False or fmt == "csv" or c.output not in ("ndjson", "json"):
+            return None
+        lines = readers.read_lines(self.spark, path, fmt, c.xml)
+        if self.plan is None:
+            return lines
+        return sinks.render(self.transformed(lines.select(F.parse_json("value").alias("record"))), c.output, self.plan.dropped)
+
+    def run(self, source: str, target: str, single_file: bool = False, variant: bool | None = None, mode: str = "errorifexists") -> Stats:
+        """Converts files to a folder of files (single_file: to one file) and counts the records on the way.
+
+        variant: whether records keep their own keys and types; by default
+        they do from JSON, NDJSON and XML to JSON and NDJSON.
+        """
         begun = time.monotonic()
         seen = Observation()
-        df = self.convert(source, variant).observe(seen, F.count(F.lit(1)).alias("n"))
-        dropped = self.plan.dropped if self.plan else frozenset()
-        if variant and self.config.output in ("csv", "xml"):
-            df = sinks.typed(df)
-        sinks.write(df, target, self.config.output, dropped, single_file=single_file, mode=mode)
+        count = F.count(F.lit(1)).alias("n")
+        with own_errors():
+            rows = self.texts(source, variant)
+            df = self.convert(source, bool(variant)) if rows is None else rows
+            if rows is None and self.config.output in ("csv", "xml"):
+                df = sinks.typed(df)
+            planned = time.monotonic()
+            if rows is None:
+                sinks.write(df.observe(seen, count), target, self.config.output, self.plan.dropped if self.plan else frozenset(), single_file=single_file, mode=mode)
+            else:
+                sinks.write_texts(rows.observe(seen, count), target, self.config.output, single_file=single_file, mode=mode)
         seconds = time.monotonic() - begun
-        return Stats(bytes_of(self.spark, source), bytes_of(self.spark, target), int(seen.get["n"]), seconds)
+        (bytes_in, files_in), (bytes_out, files_out) = size_of(self.spark, source), size_of(self.spark, target)
+        return Stats(bytes_in, bytes_out, int(seen.get["n"]), seconds, files_in, files_out, planned - begun)
 
-    def to_text(self, path: str, variant: bool = False) -> str:
+    def to_text(self, path: str, variant: bool | None = None) -> str:
         """A small result as one text."""
-        return sinks.to_text(self.convert(path, variant), self.config.output, self.plan.dropped if self.plan else frozenset())
+        with own_errors():
+            rows = self.texts(path, variant)
+            if rows is not None:
+                return sinks.joined([r["value"] for r in rows.collect()], self.config.output)
+            return sinks.to_text(self.convert(path, bool(variant)), self.config.output, self.plan.dropped if self.plan else frozenset())
+
+
+def auto_config(sample: bytes | str, output: str = "ndjson") -> ConverterConfig:
+    """The configuration for input like a sample: its format, delimiter and record element."""
+    found = detect.detect_structure(sample)
+    if found is None:
+        raise ConfigError("the format of the sample is unknown")
+    return ConverterConfig(input=found.format, output=output, csv=CsvOptions(delimiter=found.delimiter), xml=XmlOptions(record=found.record))
 
 
-def convert(spark: SparkSession, text: str | bytes, output: str, input: str = "auto", csv: CsvOptions = CsvOptions(), xml: XmlOptions = XmlOptions(), transform: Transform | dict | None = None, variant: bool = False) -> str:
+def convert(spark: SparkSession, text: str | bytes, output: str, input: str = "auto", csv: CsvOptions = CsvOptions(), xml: XmlOptions = XmlOptions(), transform: Transform | dict | None = None, variant: bool | None = None) -> str:
     """A small text in one format as a text in another.
 
     The text goes to a file of the shared folder, so that it takes the same way as files do.

@@ -4,15 +4,17 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from ..errors import ConvertError
 from ..operators.flatten import flatten
 from ..operators.transform import transform
 from ..options import ConverterConfig, CsvOptions, XmlOptions
 from ..scratch import scratch_path
 from ..sources import readers, sinks
-from ..sources.detect import looks_like
+from ..sources.detect import detect_structure, looks_like
 from ..streaming.jobs import StreamJob
-from .converter import Converter
+from .converter import Converter, convert
 
 Q: dict = {}
 SQL: dict[str, str] = {}
@@ -153,35 +155,167 @@ def xml_repeated_children(spark, sf_dir):
     return got.select("name", F.array_join("tag", "|").alias("tags"))
 
 
-@query("SELECT conv_id::VARCHAR AS conv_id, turn::VARCHAR AS turn, role, text FROM conversations WHERE text IS NOT NULL AND text <> ''")
+@query("SELECT conv_id::VARCHAR AS conv_id, turn::VARCHAR AS turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations")
 def csv_quoting_roundtrip(spark, sf_dir):
-    """Commas, quotes and newlines survive CSV."""
+    """Commas, quotes and newlines survive CSV; null and empty are both empty there."""
     path = scratch_path(spark, "csv")
-    sinks.write(table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").filter("text is not null and text <> ''"), path, "csv")
+    sinks.write(table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text"), path, "csv")
     return readers.read_csv(spark, path, CsvOptions(delimiter=",", multiline=True)).select("conv_id", "turn", "role", "text")
 
 
-@query("SELECT conv_id::VARCHAR AS conv_id, role, text FROM conversations WHERE text IS NOT NULL AND text <> ''")
+@query("SELECT conv_id::VARCHAR AS conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations")
 def csv_exact_dialect(spark, sf_dir):
     """Quotes escaped by a backslash and doubled ones in one file."""
     path = scratch_path(spark, "csv")
-    text = F.replace(F.replace("text", F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"'))
-    rows = table(spark, sf_dir, "conversations").filter("text is not null and text <> ''").select(F.concat("conv_id", F.lit(","), "role", F.lit(',"'), text, F.lit('"')).alias("value"))
+    text = F.coalesce("text", F.lit(""))
+    text = F.when(F.col("turn") % 2 == 0, F.replace(F.replace(text, F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"'))).otherwise(F.replace(F.replace(text, F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('""')))
+    rows = table(spark, sf_dir, "conversations").select(F.concat("conv_id", F.lit(","), F.coalesce("role", F.lit("")), F.lit(',"'), text, F.lit('"')).alias("value"))
     rows.write.text(path)
     options = CsvOptions(delimiter=",", headers=False, exact=True, multiline=True)
     return readers.read_csv(spark, path, options, ["conv_id", "role", "text"])
 
 
+def _text_file(spark, lines: DataFrame, name: str) -> str:
+    """One file of the lines (a column `value`), in order of `at`."""
+    path = scratch_path(spark, name)
+    lines.coalesce(1).sortWithinPartitions("at").select("value").write.text(path)
+    return path
+
+
+def _with_late(spark, sf_dir, plain, late: list[str], first: str) -> DataFrame:
+    """`at` and value: a first line, a line for each row of lineitem, and late lines."""
+    key = F.col("l_orderkey") * 10 + F.col("l_linenumber")
+    lines = table(spark, sf_dir, "lineitem").select(key.alias("at"), plain.alias("value"))
+    return lines.unionByName(spark.createDataFrame([(-1, first), *(((1 << 40) + k, x) for k, x in enumerate(late))], "at long, value string"))
+
+
+@query(
+    """SELECT l_orderkey::VARCHAR AS a, l_linenumber::VARCHAR AS b, CAST(NULL AS VARCHAR) AS field_2 FROM lineitem
+    UNION ALL VALUES ('7', '8', '9'), ('x', NULL, NULL), ('y', 'say "so", ' || chr(10) || 'twice', NULL)"""
+)
+def csv_ragged_late(spark, sf_dir):
+    """Rows with more and fewer fields, an escape and a quoted newline, behind all plain ones."""
+    plain = F.concat("l_orderkey", F.lit(","), "l_linenumber")
+    path = _text_file(spark, _with_late(spark, sf_dir, plain, ["7,8,9", "x", 'y,"say \\"so\\", ', 'twice"'], "a,b"), "csv")
+    return readers.read_csv(spark, path, CsvOptions(delimiter=","))
+
+
+@query("SELECT o_orderkey::VARCHAR AS k, CASE WHEN o_orderkey % 2 = 0 THEN o_orderstatus ELSE '' END AS s, CASE WHEN o_orderkey % 3 = 0 THEN o_custkey::VARCHAR ELSE '' END AS c FROM orders")
+def csv_empty_fields(spark, sf_dir):
+    """An empty field is an empty text, quoted or not."""
+    path = scratch_path(spark, "csv")
+    s = F.when(F.col("o_orderkey") % 2 == 0, F.col("o_orderstatus")).otherwise("")
+    c = F.when(F.col("o_orderkey") % 3 == 0, F.col("o_custkey").cast("string")).otherwise('""')
+    rows = table(spark, sf_dir, "orders").select(F.concat_ws(",", "o_orderkey", s, c).alias("value"))
+    rows.write.text(path)
+    return readers.read_csv(spark, path, CsvOptions(delimiter=",", headers=False), ["k", "s", "c"])
+
+
+@query("SELECT l_orderkey::VARCHAR AS a, l_linenumber::VARCHAR AS b FROM lineitem UNION ALL VALUES ('a', 'b'), ('a', 'b'), ('4', '5\\')")
+def csv_header_like_row(spark, sf_dir):
+    """Only a file's first record is its header; rows like it are data."""
+    plain = F.concat("l_orderkey", F.lit(","), "l_linenumber")
+    path = _text_file(spark, _with_late(spark, sf_dir, plain, ["a,b", "a,b", "4,5\\"], "a,b"), "csv")
+    return readers.read_csv(spark, path, CsvOptions(delimiter=","))
+
+
+@query(
+    """SELECT l_orderkey::VARCHAR AS a, CAST(NULL AS VARCHAR) AS late, CAST(NULL AS VARCHAR) AS "@n" FROM lineitem
+    UNION ALL VALUES ('1|2', 'x & y', NULL), (NULL, NULL, '9')"""
+)
+def xml_late_element(spark, sf_dir):
+    """An element, a repetition and an attribute that occur behind all plain records."""
+    late = ["<row><a>1</a><late>x &amp; y</late><a>2</a></row>", '<row n="9"/>', "</all>"]
+    lines = _with_late(spark, sf_dir, F.concat(F.lit("<row><a>"), "l_orderkey", F.lit("</a></row>")), late, "<all>")
+    got = readers.read_xml(spark, _text_file(spark, lines, "xml"), XmlOptions(record="row"))
+    return got.select(F.when(F.size("a") > 0, F.array_join("a", "|")).alias("a"), "late", "`@n`")
+
+
+#: Inputs of detection; the SQL has what must be found in them.
+_DETECTED = {
+    "object": '{"ship": "Dara", "log": {"day": 1}}',
+    "list": '[\n {"a": 1},\n {"a": 2}\n]',
+    "lines": '{"a":1}\n{"b-c":2}',
+    "lists": "[1,2]\n[3,4]",
+    "number": "42",
+    "comma": "a,b\n1,2",
+    "tab": "a\tb\n1\t2",
+    "bar": '"x|y"|c\n1|2',
+    "semicolon": "a;b;c\n1;2;3\n4;5;6",
+    "mark": "\ufeffa,b\n1,2",
+    "element": "<fleet><vessel><name>a</name></vessel><vessel><name>b</name></vessel></fleet>",
+    "prolog": "<?xml version='1.0'?><log><year><day>1</day><day>2</day></year></log>",
+    "doctype": "<!DOCTYPE x><x/>",
+    "words": "plain words only",
+    "blank": "  \n ",
+}
+
+
+@query(
+    """SELECT * FROM (VALUES ('object', 'json', 'day,log,ship', NULL, NULL), ('list', 'json', 'a', NULL, NULL), ('lines', 'ndjson', 'a,b-c', NULL, NULL),
+    ('lists', 'ndjson', '', NULL, NULL), ('number', 'json', '', NULL, NULL), ('comma', 'csv', 'a,b', ',', NULL), ('tab', 'csv', 'a,b', chr(9), NULL),
+    ('bar', 'csv', 'x|y,c', '|', NULL), ('semicolon', 'csv', 'a,b,c', ';', NULL), ('mark', 'csv', 'a,b', ',', NULL), ('element', 'xml', 'fleet,name,vessel', NULL, 'vessel'),
+    ('prolog', 'xml', 'day,log,year', NULL, 'day'), ('doctype', 'xml', 'x', NULL, NULL), ('words', NULL, NULL, NULL, NULL), ('blank', NULL, NULL, NULL, NULL)
+    ) t(name, format, fields, delimiter, record)"""
+)
+def detect_cases(spark, sf_dir):
+    """Format, fields, delimiter and record element of samples."""
+    rows = []
+    for name, text in _DETECTED.items():
+        found = detect_structure(text.encode())
+        rows.append((name, *((None,) * 4 if found is None else (found.format, ",".join(found.fields), found.delimiter, found.record))))
+    return spark.createDataFrame(rows, "name string, format string, fields string, delimiter string, record string")
+
+
+@query(
+    """SELECT * FROM (VALUES ('missing', 'TransformError', 'Missing field ' || chr(39) || 'gone' || chr(39)), ('required', 'TransformError', 'Missing required field ' || chr(39) || 'gone' || chr(39)),
+    ('not an object', 'TransformError', 'Transform expects object records'), ('broken line', 'JsonParseError', 'a line is broken JSON'), ('open quote', 'CsvParseError', 'a quote is not closed')) t(name, kind, message)"""
+)
+def error_kinds(spark, sf_dir):
+    """What ends a conversion, and how."""
+    gone = {"fields": [field("gone")]}
+    cases = [
+        ("missing", '{"a":1}\n', "ndjson", gone),
+        ("required", '{"a":1}\n', "ndjson", {"fields": [field("gone", required=True)]}),
+        ("not an object", "1\n", "ndjson", gone),
+        ("broken line", '{"a":1}\n{broken\n', "ndjson", None),
+        ("open quote", 'a,b\n"x,1\n', "csv", None),
+    ]
+    rows = []
+    for name, text, fmt, change in cases:
+        try:
+            convert(spark, text, "ndjson", input=fmt, transform=change)
+        except ConvertError as error:
+            rows.append((name, type(error).__name__, str(error)))
+    return spark.createDataFrame(rows, "name string, kind string, message string")
+
+
+@query("SELECT event_id, event_id % 3 <> 0 AS has_kind, CASE WHEN event_id % 3 <> 0 THEN event_type END AS kind FROM events")
+def policy_missing_drop(spark, sf_dir):
+    """A target whose origin a record lacks is left out of that record."""
+    value = F.when(F.col("event_id") % 3 == 0, F.to_json(F.struct("event_id"))).otherwise(F.to_json(F.struct("event_id", "event_type")))
+    source, target = scratch_path(spark, "in"), scratch_path(spark, "out")
+    table(spark, sf_dir, "events").select(value.alias("value")).write.text(source)
+    Converter(spark, input="ndjson", output="ndjson", transform={"fields": [field("event_id"), field("kind", "event_type")], "onMissingField": "drop"}).run(source, target)
+    record = F.parse_json("value")
+    got = spark.read.text(target).select(record.alias("r"), F.array_contains(F.json_object_keys("value"), "kind").alias("has_kind"))
+    return got.select(F.variant_get("r", "$.event_id", "long").alias("event_id"), "has_kind", F.try_variant_get("r", "$.kind", "string").alias("kind"))
+
+
 @query(
-    """SELECT 'events' AS t, 'json' AS format, count(*) AS n FROM events
-    UNION ALL SELECT 'nation', 'csv', count(*) FROM nation UNION ALL SELECT 'pages', 'xml', count(*) FROM pages WHERE html LIKE '<%'"""
+    r"""WITH s AS (SELECT t, regexp_replace(coalesce(x, ''), '^[\s\x{FEFF}]+', '') AS x FROM (
+      SELECT 'events' AS t, props AS x FROM events UNION ALL SELECT 'nation', concat_ws(',', n_nationkey, n_name) FROM nation UNION ALL SELECT 'pages', html FROM pages))
+    SELECT t, CASE WHEN x = '' THEN NULL WHEN regexp_matches(x, '^<(\?xml|!DOCTYPE|[A-Za-z])') THEN 'xml'
+      WHEN regexp_matches(x, '^[{\[]') THEN CASE WHEN regexp_matches(x, '^[{\[][^\n]*[}\]]\s*\n\s*[{\[][^\n]*[}\]]\s*(\n|$)') THEN 'ndjson' ELSE 'json' END
+      WHEN regexp_matches(regexp_extract(x, '^[^\n]*'), '[,\t;|]') THEN 'csv'
+      WHEN regexp_matches(x, '^("([^"\\]|\\.)*"|-?[0-9][0-9.eE+-]*|true|false|null)\s*(\n|$)') THEN 'json' END AS format, count(*) AS n FROM s GROUP BY ALL"""
 )
 def detect_format_rows(spark, sf_dir):
-    """The format of each value."""
+    """The format that each value looks like."""
     parts = [
         table(spark, sf_dir, "events").select(F.lit("events").alias("t"), F.col("props").alias("x")),
         table(spark, sf_dir, "nation").select(F.lit("nation").alias("t"), F.concat_ws(",", "n_nationkey", "n_name").alias("x")),
-        table(spark, sf_dir, "pages").filter(F.col("html").like("<%")).select(F.lit("pages").alias("t"), F.col("html").alias("x")),
+        table(spark, sf_dir, "pages").select(F.lit("pages").alias("t"), F.col("html").alias("x")),
     ]
     rows = parts[0].unionByName(parts[1]).unionByName(parts[2])
     return rows.groupBy("t", looks_like(F.col("x")).alias("format")).agg(F.count(F.lit(1)).alias("n"))
@@ -216,6 +350,16 @@ _MATRIX = "SELECT c_custkey, c_name, c_nationkey, c_mktsegment FROM customer"
 _AS_TEXT = "SELECT c_custkey::VARCHAR AS c_custkey, c_name, c_nationkey::VARCHAR AS c_nationkey, c_mktsegment FROM customer"
 
 
+def _with_spark(spark: SparkSession, path: str, fmt: str, columns: list[str]) -> DataFrame:
+    """The output of a conversion, read with Spark's own sources."""
+    if fmt == "csv":
+        return spark.read.option("header", True).option("escape", '"').option("multiLine", True).csv(path).select(columns)
+    if fmt == "xml":
+        schema = T.StructType([T.StructField(c, T.StringType()) for c in columns])
+        return spark.read.format("xml").schema(schema).option("rowTag", "record").load(path)
+    return spark.read.option("multiLine", fmt == "json").json(path).select(columns)
+
+
 def _matrix(a: str, b: str, with_transform: bool):
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         source, target = scratch_path(spark, a), scratch_path(spark, b)
@@ -224,7 +368,32 @@ def _matrix(a: str, b: str, with_transform: bool):
         change = {"mode": "augment", "fields": [field("c_name", compute="lower(c_name)")]} if with_transform else None
         options = {"xml": XmlOptions(record="record"), "csv": CsvOptions(delimiter=",")}
         Converter(spark, input=a, output=b, transform=change, **options).run(source, target)
-        return Converter(spark, input=b, output="ndjson", **options).records(target).select(df.columns)
+        return _with_spark(spark, target, b, df.columns)
+
+    return run
+
+
+#: Records that differ in keys and types, as JSON, and what is asked about each: its number, the text of v (null: absent), whether it has v, and w.
+_MIXED_LINE = r"""concat('{"id":', event_id, CASE event_id % 5 WHEN 0 THEN ',"v":1.5' WHEN 1 THEN concat(',"v":"', event_type, ' \\"q\\" & <b>, ü"') WHEN 2 THEN ',"v":null'
+ WHEN 3 THEN concat(',"w":{"k":[', event_id, ',{"x":true}]},"v":[]') ELSE '' END, '}')"""
+_MIXED_SQL = r"""SELECT event_id AS id, CASE event_id % 5 WHEN 0 THEN '1.5' WHEN 1 THEN concat('"', event_type, ' \"q\" & <b>, ü"') WHEN 2 THEN 'null' WHEN 3 THEN '[]' END AS v,
+ event_id % 5 <> 4 AS has_v, CASE WHEN event_id % 5 = 3 THEN concat('{"k":[', event_id, ',{"x":true}]}') END AS w FROM events"""
+
+
+def _mixed(a: str, b: str, with_transform: bool):
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        source, target = scratch_path(spark, a), scratch_path(spark, b)
+        lines = table(spark, sf_dir, "events").select(F.expr(_MIXED_LINE).alias("value"))
+        (sinks.enclosed(lines, "[", ",", "]") if a == "json" else lines).write.text(source)
+        change = {"mode": "augment", "fields": [field("twice", compute="id * 2")]} if with_transform else None
+        Converter(spark, input=a, output=b, transform=change).run(source, target)
+        got = spark.read.text(target, wholetext=b == "json").select(F.parse_json("value").alias("r"))
+        if b == "json":
+            got = got.select(F.explode(F.col("r").cast("array<variant>")).alias("r"))
+        text = F.to_json("r")
+        more = [F.variant_get("r", "$.twice", "double").alias("twice")] if with_transform else []
+        v, w = F.try_variant_get("r", "$.v", "variant"), F.try_variant_get("r", "$.w", "variant")
+        return got.select(F.variant_get("r", "$.id", "long").alias("id"), F.to_json(v).alias("v"), F.array_contains(F.json_object_keys(text), "v").alias("has_v"), F.to_json(w).alias("w"), *more)
 
     return run
 
@@ -236,6 +405,10 @@ for _a in ("csv", "ndjson", "json", "xml"):
             _name = f"matrix_{_a}_to_{_b}" + "_transform" * _changed
             Q[_name] = _matrix(_a, _b, _changed)
             SQL[_name] = (_MATRIX if _typed else _AS_TEXT).replace("c_name,", "lower(c_name) AS c_name,") if _changed else (_MATRIX if _typed else _AS_TEXT)
+            if _typed:
+                _name = f"mixed_{_a}_to_{_b}" + "_transform" * _changed
+                Q[_name] = _mixed(_a, _b, _changed)
+                SQL[_name] = _MIXED_SQL.replace(" AS w FROM", " AS w, event_id * 2.0::DOUBLE AS twice FROM") if _changed else _MIXED_SQL
 
 
 def queries() -> dict:

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
+import functools
 import json
 import re
-import xml.etree.ElementTree as ET
 from collections.abc import Iterable, Iterator
 from xml.parsers import expat
 
@@ -13,18 +13,29 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..errors import ConfigError, CsvParseError
+from ..errors import ConfigError, CsvParseError, EncodingError, JsonParseError, XmlParseError, failure
 from ..options import CsvOptions, XmlOptions, format_name
 from .detect import decoded, detect_delimiter, detect_structure, read_sample, xml_elements
 
-#: Escapes inside quotes; how a line that may be JSON begins.
+#: Escapes inside quotes and in XML texts; how a line that may be JSON begins; the byte-order mark.
 ESCAPES = {"n": "\n", "r": "\r", "t": "\t", "\\": "\\"}
 JSON_START = r'^\s*[{\["tfn\-0-9]'
-NOT_UTF8 = "�"
+BOM = "\ufeff"
 #: The name of the text of an element that has only text in some records and elements in others.
 VALUE = "#text"
 
 
+def utf8(column: Column) -> Column:
+    """The texts; one that is not UTF-8 is an error."""
+    return F.when(F.is_valid_utf8(column), column).otherwise(failure(EncodingError, "a line is not UTF-8").cast("string"))
+
+
+def text_lines(spark: SparkSession, path: str) -> DataFrame:
+    """Lines of files (a column `value`) without byte-order marks."""
+    line = utf8(F.col("value"))
+    return spark.read.text(path).select(F.when(F.startswith("value", F.lit(BOM)), F.substring(line, 2, 1 << 30)).otherwise(line).alias("value"))
+
+
 # CSV
 
 
@@ -43,50 +54,57 @@ def csv_records(text: str, quote: str) -> list[str]:
     raise CsvParseError("a quote is not closed")
 
 
+@functools.cache
+def _csv_patterns(delimiter: str, quote: str) -> tuple[re.Pattern, re.Pattern, re.Pattern]:
+    """A field with its end, a quoted part of it, and what stands for something else inside such a part."""
+    q, d = re.escape(quote), re.escape(delimiter)
+    inside = rf"(?:[^{q}\\]++|\\.|\\\Z|{q}{q})*+"
+    return re.compile(rf"((?:[^{q}{d}]++|{q}{inside}(?:{q}|\Z))*+)({d}|\Z)", re.S), re.compile(rf"{q}({inside})(?:{q}|\Z)", re.S), re.compile(rf"\\(.)|{q}{q}", re.S)
+
+
 def csv_fields(record: str, delimiter: str, quote: str, trim: bool) -> list[str]:
     """Fields of a record. Quotes may open anywhere; inside, a doubled quote and a backslash escape are both read."""
     if quote not in record:
         out = record.split(delimiter)
     else:
-        out, field, inside, at = [], [], False, 0
-        while at < len(record):
-            c, after = record[at], record[at + 1 : at + 2]
-            if inside and c == "\\" and after:
-                field.append(after if after == quote else ESCAPES.get(after, c + after))
-                at += 1
-            elif inside and c == quote and after == quote:
-                field.append(quote)
-                at += 1
-            elif c == quote:
-                inside = not inside
-            elif c == delimiter and not inside:
-                out.append("".join(field))
-                field = []
-            else:
-                field.append(c)
-            at += 1
-        out.append("".join(field))
+        field, part, special = _csv_patterns(delimiter, quote)
+        plain = lambda m: quote if m[1] is None or m[1] == quote else ESCAPES.get(m[1], "\\" + m[1])
+        out, at = [], 0
+        while m := field.match(record, at):
+            raw, at = m[1], m.end()
+            out.append(part.sub(lambda m: special.sub(plain, m[1]) if "\\" in m[1] or quote in m[1] else m[1], raw) if quote in raw else raw)
+            if not m[2]:
+                break
     return [x.strip(" \t") for x in out] if trim else out
 
 
-def _exact_rows(texts: DataFrame, options: CsvOptions, delimiter: str, whole: bool) -> DataFrame:
-    """A column `fields` of every non-blank record of the texts; whole: a text may have many records."""
+def _exact_rows(texts: DataFrame, options: CsvOptions, delimiter: str, whole: bool, header: list[str] | None) -> DataFrame:
+    """A column `fields` of every non-blank record of the texts (value, file and block, where the text's split begins); whole: a text may have many records.
+
+    header: the first record of every file has these fields and is left out.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begun = None
         for batch in batches:
             rows = []
-            for text in batch.column(0).to_pylist():
+            for text, file, block in zip(*(c.to_pylist() for c in batch.columns)):
                 for record in csv_records(text or "", options.quote) if whole else [(text or "").rstrip("\r")]:
                     if record.strip():
-                        if NOT_UTF8 in record:
-                            raise CsvParseError("a record is not UTF-8")
-                        rows.append(csv_fields(record.removeprefix("﻿"), delimiter, options.quote, options.trim))
+                        fields = csv_fields(record.removeprefix(BOM), delimiter, options.quote, options.trim)
+                        if header is not None and block == 0 and file != begun:
+                            begun = file
+                            if fields != header:
+                                raise CsvParseError(f"{file} has another header than the first file: {fields}")
+                        else:
+                            rows.append(fields)
                     if len(rows) >= 10_000:
                         yield pa.RecordBatch.from_arrays([pa.array(rows, pa.list_(pa.string()))], names=["fields"])
                         rows = []
             yield pa.RecordBatch.from_arrays([pa.array(rows, pa.list_(pa.string()))], names=["fields"])
 
-    return texts.mapInArrow(run, "fields array<string>")
+    rows = texts.select(utf8(F.col("value")).alias("value"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"))
+    return rows.mapInArrow(run, "fields array<string>")
 
 
 def _last_of_each(names: list[str]) -> dict[str, int]:
@@ -94,36 +112,39 @@ def _last_of_each(names: list[str]) -> dict[str, int]:
 
 
 def csv_traits(lines: DataFrame, delimiter: str, quote: str, width: int) -> dict[str, bool]:
-    """Of all lines (a column `value`): odd, whether one has an odd count of quotes; special, whether one has a backslash, more than width fields, or a quote that neither begins nor ends a field."""
+    """Of all lines (a column `value`): odd, whether one has an odd count of quotes; special, whether one has a backslash, another number of fields than width (but for blank lines), or a quote that neither begins nor ends a field. A line that is not UTF-8 is an error."""
     q, d = (f"\\x{{{ord(c):x}}}" for c in (quote, delimiter))
     line = F.col("value")
     quoted = F.contains(line, F.lit(quote))
     count = lambda text, c: F.length(text) - F.length(F.replace(text, F.lit(c), F.lit("")))
     bare = F.when(quoted, F.regexp_replace(line, f"{q}[^{q}]*+{q}", "")).otherwise(line)
     inner = quoted & F.contains(F.regexp_replace(line, f"(?<=^|{d})(?:{q}[^{q}]*+{q})++(?={d}|$)", ""), F.lit(quote))
-    special = F.contains(line, F.lit("\\")) | (count(bare, delimiter) >= max(width, 1)) | inner
-    found = lines.agg(F.max(quoted & (count(line, quote) % 2 == 1)).alias("odd"), F.max(special).alias("special")).first()
+    blank = F.length(F.trim(line, F.lit(" \t\r"))) == 0
+    special = F.contains(line, F.lit("\\")) | ((count(bare, delimiter) != max(width, 1) - 1) & ~blank) | inner
+    found = lines.agg(F.max(quoted & (count(line, quote) % 2 == 1)).alias("odd"), F.max(special).alias("special"), F.max(~F.is_valid_utf8(line)).alias("bad")).first()
+    if found["bad"]:
+        raise EncodingError("a line is not UTF-8")
     return {"odd": bool(found["odd"]), "special": bool(found["special"])}
 
 
 def read_csv(spark: SparkSession, path: str, options: CsvOptions = CsvOptions(), names: list[str] | None = None) -> DataFrame:
-    """All columns are texts. Extra fields are field_{i}, missing ones null; of equal names the last field counts.
-
-    Where all lines of all files have nothing but plain quoting, Spark's own
-    source reads, in splits. Where one has more (see csv_traits), every record
-    is parsed with both ways of escaping, and widths are found by one
-    aggregate; where one has an odd count of quotes, records may have newlines
-    and a file is one task. The sample tells only the delimiter and header.
+    """All columns are texts, empty ones too. Extra fields are field_{i}, missing ones null; of equal names the last field counts.
+
+    Where all lines of all files have plain quoting and as many fields as the
+    header, Spark's own source reads, in splits. Where one has more or less
+    (see csv_traits), every record is parsed with both ways of escaping, and
+    widths are found by one aggregate; where one has an odd count of quotes,
+    records may have newlines and a file is one task. The sample tells only
+    the delimiter and header; a file with another header is an error.
     """
     text = decoded(read_sample(spark, path))
     delimiter = options.delimiter or detect_delimiter(text)
     records = [r for r in _sampled_records(text, options.quote) if r.strip()]
-    header = csv_fields(records[0], delimiter, options.quote, options.trim) if records else []
-    width = len(header)
-    header = names or (header if options.headers else [f"field_{i}" for i in range(width)])
+    first = csv_fields(records[0], delimiter, options.quote, options.trim) if records else []
+    header = names or (first if options.headers else [f"field_{i}" for i in range(len(first))])
     exact, multiline = options.exact, options.multiline
     if records and (multiline is None or exact is None and not multiline):
-        traits = csv_traits(spark.read.text(path), delimiter, options.quote, width)
+        traits = csv_traits(spark.read.text(path), delimiter, options.quote, len(first))
         multiline = traits["odd"] if multiline is None else multiline
         exact = traits["odd"] or traits["special"] or len(set(header)) < len(header) if exact is None else exact
     elif exact is None:
@@ -134,11 +155,10 @@ def read_csv(spark: SparkSession, path: str, options: CsvOptions = CsvOptions(),
         schema = T.StructType([T.StructField(n, T.StringType()) for n in header])
         reader = spark.read.schema(schema).option("header", options.headers).option("sep", delimiter).option("quote", options.quote).option("escape", options.quote)
         reader = reader.option("multiLine", multiline).option("ignoreLeadingWhiteSpace", options.trim).option("ignoreTrailingWhiteSpace", options.trim)
-        return reader.option("nullValue", None).option("emptyValue", "").option("enforceSchema", True).csv(path)
-    rows = _exact_rows(spark.read.text(path, wholetext=multiline).select("value"), options, delimiter, multiline)
-    if options.headers:
-        first = csv_fields(records[0], delimiter, options.quote, options.trim)
-        rows = rows.filter(F.col("fields") != F.array(*(F.lit(x) for x in first)))
+        rows = reader.option("emptyValue", "").option("enforceSchema", names is not None).option("mode", "FAILFAST").csv(path)
+        # every row has all fields, so what Spark takes for null is an empty one
+        return rows.select(*(F.coalesce(F.col("`" + n.replace("`", "``") + "`"), F.lit("")).alias(n) for n in header))
+    rows = _exact_rows(spark.read.text(path, wholetext=multiline), options, delimiter, multiline, first if options.headers else None)
     widest = max(rows.agg(F.max(F.size("fields")).alias("n")).first()["n"] or 0, len(header))
     names = header + [f"field_{i}" for i in range(len(header), widest)]
     return rows.select(*(F.try_element_at("fields", F.lit(i + 1)).alias(n) for n, i in _last_of_each(names).items()))
@@ -161,65 +181,219 @@ def json_lines(texts: DataFrame) -> DataFrame:
     return texts.filter((F.length(F.trim("value")) > 0) & F.col("value").rlike(JSON_START))
 
 
+def is_json(text: Column) -> Column:
+    """Whether a text is one JSON value and nothing after it (the parser alone would overlook what follows).
+
+    It must be one value between brackets, and if it might close them itself,
+    between braces as well.
+    """
+    one = F.json_array_length(F.concat(F.lit("["), text, F.lit("]"))) == 1
+    keyed = F.json_object_keys(F.concat(F.lit('{"k":'), text, F.lit("}"))).isNotNull()
+    return F.coalesce(one & (~F.contains(text, F.lit("]")) | keyed), F.lit(False))
+
+
+def checked(lines: DataFrame) -> DataFrame:
+    """The lines that json_lines() leaves, as they are; a broken one is an error."""
+    value = F.col("value")
+    return json_lines(lines).select(F.when(is_json(value), value).otherwise(failure(JsonParseError, "a line is broken JSON").cast("string")).alias("value"))
+
+
 def parse_lines(lines: DataFrame, schema: T.StructType | None = None) -> DataFrame:
-    """Records of lines: typed columns with a schema, or else one VARIANT column `record`. A broken line is an error."""
-    lines = json_lines(lines)
+    """Records of lines: typed columns with a schema, or else one VARIANT column `record`. A broken line is an error; typed records are those of lines that are objects."""
+    lines = checked(lines)
     if schema is None:
         return lines.select(F.parse_json("value").alias("record"))
+    lines = lines.filter(F.col("value").rlike(r"^\s*\{"))
     return lines.select(F.from_json("value", schema, {"mode": "FAILFAST"}).alias("r")).select("r.*")
 
 
 def read_ndjson(spark: SparkSession, path: str, schema: T.StructType | None = None, variant: bool = False, sample: float = 1.0) -> DataFrame:
     """Typed columns (schema given, or inferred from a share of the lines), or one VARIANT column `record` with each record's own types."""
-    lines = spark.read.text(path)
+    lines = text_lines(spark, path)
     if variant:
         return parse_lines(lines)
     if schema is None:
         schema = spark.read.option("samplingRatio", sample).option("mode", "DROPMALFORMED").json(path).schema
-    return parse_lines(lines.filter(F.col("value").rlike(r"^\s*\{")), T.StructType([f for f in schema.fields if f.name != "_corrupt_record"]))
+    return parse_lines(lines, T.StructType([f for f in schema.fields if f.name != "_corrupt_record"]))
+
+
+def _objects_by_line(spark: SparkSession, path: str) -> DataFrame | None:
+    """The elements of lists whose files have one object a line, as lines, in splits; None if any file is otherwise.
+
+    One aggregate decides, over all lines: outside the objects, which must be
+    valid, a file has one bracket of each kind and a comma between any two.
+    """
+    value = F.col("value")
+    element = F.regexp_extract("value", r"^\s*\[?\s*,?\s*(\{.*\})\s*,?\s*\]?\s*$", 1)
+    lines = text_lines(spark, path).select(value, element.alias("element"), F.input_file_name().alias("file"))
+    rest = F.regexp_replace(F.when(F.col("element") == "", value).otherwise(F.replace(value, F.col("element"), F.lit(""))), r"\s", "")
+    count = lambda c: F.sum(F.length("rest") - F.length(F.replace(F.col("rest"), F.lit(c), F.lit(""))))
+    bad = F.rlike("rest", F.lit(r"[^\[\],]")) | ((F.col("element") != "") & ~is_json(F.col("element")))
+    files = lines.withColumn("rest", rest).groupBy("file").agg(count("[").alias("a"), count("]").alias("b"), count(",").alias("c"), F.sum((F.col("element") != "").cast("long")).alias("n"), F.max(bad).alias("bad"))
+    good = ~F.col("bad") & (F.col("a") == 1) & (F.col("b") == 1) & (F.col("c") == F.greatest(F.col("n") - 1, F.lit(0)))
+    if files.agg(F.min(good).alias("good")).first()["good"]:
+        return lines.filter("element <> ''").select(F.col("element").alias("value"))
+    return None
+
+
+def _elements(text: str) -> Iterator[str]:
+    """The JSON texts of the elements of a top-level list, or of the one top-level object; they have no newlines."""
+
+    def refuse(name: str):
+        raise ValueError(f"{name} is no JSON")
+
+    decoder, space = json.JSONDecoder(parse_constant=refuse), re.compile(r"[ \t\r\n]*")
+    skip = lambda at: space.match(text, at).end()
+    at = skip(1 if text.startswith(BOM) else 0)
+    listed = text.startswith("[", at)
+    if not text[at:]:
+        return
+    at = skip(at + 1) if listed else at
+    while not (listed and text.startswith("]", at)):
+        value, end = decoder.raw_decode(text, at)
+        if listed or isinstance(value, dict):
+            yield text[at:end] if "\n" not in text[at:end] and "\r" not in text[at:end] else json.dumps(value, ensure_ascii=False, separators=(",", ":"))
+        at = skip(end)
+        if not listed:
+            break
+        if text.startswith(",", at):
+            at = skip(at + 1)
+            if text.startswith("]", at):
+                raise ValueError("a comma before the end of a list")
+        elif not text.startswith("]", at):
+            raise ValueError("a comma or the end of the list is missing")
+    if skip(at + listed) < len(text):
+        raise ValueError("text after the document")
+
+
+def json_elements(spark: SparkSession, path: str) -> DataFrame:
+    """A line of JSON (a column `value`) for each element of top-level lists, and for each top-level object; other values have none.
+
+    Where all files have one object a line they are read in splits; else a
+    file is one task and must fit into its memory.
+    """
+    found = _objects_by_line(spark, path)
+    if found is not None:
+        return found
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for text in batch.column(0).to_pylist():
+                out, size = [], 0
+                try:
+                    for element in _elements(text or ""):
+                        out.append(element)
+                        size += len(element)
+                        if size > 1 << 22:
+                            yield pa.RecordBatch.from_pydict({"value": pa.array(out, pa.string())})
+                            out, size = [], 0
+                except ValueError as error:
+                    raise JsonParseError(str(error)) from error
+                yield pa.RecordBatch.from_pydict({"value": pa.array(out, pa.string())})
+
+    return spark.read.text(path, wholetext=True).select(utf8(F.col("value")).alias("value")).mapInArrow(run, "value string")
 
 
 def read_json(spark: SparkSession, path: str, schema: T.StructType | None = None, variant: bool = False) -> DataFrame:
-    """Records of documents: the elements of a top-level list, or the one top-level object; other values have no record. A file is one task."""
+    """Records of documents: the elements of a top-level list, or the one top-level object; other values have no record. Typed records are those that are objects."""
+    lines = json_elements(spark, path)
     if variant:
-        docs = spark.read.text(path, wholetext=True).select(F.parse_json("value").alias("d"))
-        kind = F.schema_of_variant("d")
-        many = F.when(kind.startswith("ARRAY"), F.col("d").cast("array<variant>")).when(kind.startswith("OBJECT"), F.array("d"))
-        return docs.select(F.explode(many).alias("record"))
-    reader = spark.read.option("multiLine", True).option("mode", "FAILFAST")
-    return (reader.schema(schema) if schema is not None else reader).json(path)
+        return lines.select(F.parse_json("value").alias("record"))
+    if schema is None:
+        shape = lines.select(F.parse_json("value").alias("v")).filter(F.schema_of_variant("v").startswith("OBJECT")).agg(F.schema_of_variant_agg("v").alias("s")).first()["s"]
+        if not shape or not shape.startswith("OBJECT<"):
+            return spark.createDataFrame([], T.StructType([]))
+        schema = T.StructType.fromDDL(variant_ddl(shape))
+    return parse_lines(lines, schema)
+
+
+def variant_ddl(shape: str) -> str:
+    """The fields of the struct that holds objects of a variant's shape; what differs from record to record is text, numbers with a fraction double."""
+    ddl = shape.removeprefix("OBJECT<").removesuffix(">").replace("OBJECT<", "STRUCT<")
+    return re.sub(r"(?<=[:<])( ?)(?:VARIANT|VOID)\b", r"\1STRING", re.sub(r"(?<=[:<])( ?)DECIMAL\(\d+, ?\d+\)", r"\1DOUBLE", ddl))
 
 
 # XML
 
 
-def fragments(text: Column, record: str) -> Column:
-    """The record elements of a text, wherever they stand; self-closed ones are records too."""
-    name = "".join("\\" + c if not c.isalnum() and c != "_" else c for c in record)
-    return F.regexp_extract_all(text, F.lit(rf"(?s)<{name}(?:\s[^>]*?)?/>|<{name}(?=[\s>])(?:[^>]*[^/>])?>.*?</{name}\s*>"), 0)
+class XmlRecords:
+    """The records of texts, each as a dictionary: text, dictionaries and, for names that repeat, lists.
 
+    A record begins at the start tag of its element and ends at the first end
+    tag of that name; everything outside is ignored. Its attributes are @name;
+    attributes of other elements don't count. An element with only text is
+    that text (the last of several runs that is not blank), one without
+    anything is absent. A self-closed record has its attributes only.
+    """
+
+    def __init__(self, record: str, options: XmlOptions):
+        self.options, self.close = options, f"</{record}>"
+        self.open = re.compile(rf"<{re.escape(record)}(?=[\s/>])(?:[^>\"']|\"[^\"]*\"|'[^']*')*?(/?)>")
+
+    def texts(self, text: str) -> Iterator[str]:
+        """The texts of the records."""
+        at = 0
+        while m := self.open.search(text, at):
+            end = m.end() if m[1] else text.find(self.close, m.end())
+            if end < 0:
+                return
+            at = end if m[1] else end + len(self.close)
+            yield text[m.start() : at]
+
+    def parse(self, text: str) -> dict:
+        root: dict = {}
+        stack: list[dict] = []
+        run = ""
+        trim = self.options.trim
+
+        def start(name: str, attributes: dict) -> None:
+            nonlocal run
+            run = ""
+            if not stack and self.options.attributes:
+                root.update({"@" + k: v for k, v in attributes.items()})
+            stack.append({} if stack else root)
+
+        def data(value: str) -> None:
+            nonlocal run
+            if value.strip():
+                run = value
+
+        def end(name: str) -> None:
+            nonlocal run
+            own = stack.pop()
+            if not stack:
+                return
+            value = own
+            if not own:
+                value, run = run, ""
+                if not value:
+                    return
+                if "\\" in value:
+                    value = re.sub(r'\\(["\\nrt])', lambda m: ESCAPES.get(m[1], m[1]), value)
+                value = value.strip() if trim else value
+            parent = stack[-1]
+            if name not in parent:
+                parent[name] = value
+            elif isinstance(parent[name], list):
+                parent[name].append(value)
+            else:
+                parent[name] = [parent[name], value]
 
-def _element(text: str) -> ET.Element:
-    """The element of a record's text; prefixes are part of names."""
-    builder, parser = ET.TreeBuilder(), expat.ParserCreate()
-    parser.StartElementHandler, parser.EndElementHandler, parser.CharacterDataHandler = builder.start, builder.end, builder.data
-    parser.Parse(text, True)
-    return builder.close()
+        parser = expat.ParserCreate()
+        parser.buffer_text = True
+        parser.StartElementHandler, parser.EndElementHandler, parser.CharacterDataHandler = start, end, data
+        parser.CommentHandler = parser.StartCdataSectionHandler = parser.ProcessingInstructionHandler = lambda *_: None
+        try:
+            parser.Parse(text, True)
+        except expat.ExpatError as error:
+            raise XmlParseError(f"a record is broken: {error}") from error
+        return root
 
 
-def _shape(element: ET.Element) -> T.DataType:
-    """Of an element: a structure, text, or void if it is empty."""
-    children = list(element)
-    if not children:
-        return T.StringType() if (element.text or "").strip() else T.NullType()
-    shapes: dict[str, T.DataType] = {}
-    for child in children:
-        name, shape = child.tag, _shape(child)
-        if name in shapes:
-            old = shapes[name]
-            shape = T.ArrayType(_merged(old.elementType if isinstance(old, T.ArrayType) else old, shape))
-        shapes[name] = shape
-    return T.StructType([T.StructField(n, s) for n, s in sorted(shapes.items())])
+def _shape(value: str | list | dict) -> T.DataType:
+    if isinstance(value, dict):
+        return T.StructType([T.StructField(n, _shape(v)) for n, v in sorted(value.items())])
+    return T.ArrayType(functools.reduce(_merged, map(_shape, value))) if isinstance(value, list) else T.StringType()
 
 
 def _merged(a: T.DataType, b: T.DataType) -> T.DataType:
@@ -229,96 +403,114 @@ def _merged(a: T.DataType, b: T.DataType) -> T.DataType:
         return T.ArrayType(_merged(x, y))
     if isinstance(a, T.StructType) or isinstance(b, T.StructType):
         a, b = (T.StructType([T.StructField(VALUE, t)]) if isinstance(t, T.StringType) else t for t in (a, b))
-        fields = {f.name: f.dataType for f in a.fields} if isinstance(a, T.StructType) else {}
-        for f in b.fields if isinstance(b, T.StructType) else ():
+        fields = {f.name: f.dataType for f in a.fields}
+        for f in b.fields:
             fields[f.name] = _merged(fields[f.name], f.dataType) if f.name in fields else f.dataType
         return T.StructType([T.StructField(n, t) for n, t in sorted(fields.items())])
-    return b if isinstance(a, T.NullType) else a
+    return a
 
 
-def _record_shape(sample: Iterable[str]) -> T.StructType:
-    """The merged shape of records, with their attributes as @name; texts that are no element have none."""
-    merged: T.DataType = T.StructType([])
-    for x in sample:
-        try:
-            element = _element(x)
-        except expat.ExpatError:
-            continue
-        shape = _shape(element)
-        own = T.StructType([T.StructField(f"@{n}", T.StringType()) for n in element.attrib])
-        merged = _merged(_merged(merged, own), shape if isinstance(shape, T.StructType) else T.StructType([]))
-    return merged
+def _fitted(value: str | list | dict, dtype: T.DataType):
+    """A value in the form that the schema of all records has; what that doesn't know is left out."""
+    if isinstance(dtype, T.ArrayType):
+        return [_fitted(x, dtype.elementType) for x in (value if isinstance(value, list) else [value])]
+    if isinstance(value, list):
+        value = value[-1]
+    if isinstance(dtype, T.StructType):
+        value = value if isinstance(value, dict) else {VALUE: value}
+        return {f.name: _fitted(value[f.name], f.dataType) for f in dtype.fields if f.name in value}
+    return value.get(VALUE) if isinstance(value, dict) else value
 
 
-def _schema_of(shape: T.StructType, attributes: bool) -> T.StructType:
-    return T.StructType([T.StructField(f.name, _plain(f.dataType)) for f in shape.fields if attributes or not f.name.startswith("@")])
+def xml_schema(sample: Iterable[str], attributes: bool = True, record: str | None = None) -> T.StructType:
+    """The schema of records (texts of one element each): texts, objects and lists, with the record's attributes as @name."""
+    shape: T.DataType = T.StructType([])
+    for text in sample:
+        parse = XmlRecords(record or "", XmlOptions(attributes=attributes)).parse
+        shape = _merged(shape, _shape(parse(text)))
+    return shape
 
 
-def xml_schema(sample: list[str], attributes: bool = True) -> T.StructType:
-    """The schema of records: texts, objects and lists, with the record's attributes as @name; child attributes don't count."""
-    return _schema_of(_record_shape(sample), attributes)
+def xml_pieces(spark: SparkSession, path: str, record: str) -> DataFrame:
+    """Files (a column `value`) cut after each end tag of the record, in splits; the last piece of a file gets one too."""
+    close = f"</{record}>"
+    return spark.read.option("lineSep", close).text(path).select(F.concat(utf8(F.col("value")), F.lit(close)).alias("value"))
 
 
-def inferred_xml_schema(texts: DataFrame, record: str, attributes: bool = True) -> T.StructType:
+def inferred_xml_schema(texts: DataFrame, record: str, options: XmlOptions = XmlOptions()) -> T.StructType:
     """The schema of all records of the texts (a column `value`): one partial shape a task, merged."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shape = _record_shape(x for batch in batches for x in batch.column(0).to_pylist())
+        records, shape, seen = XmlRecords(record, options), T.StructType([]), set()
+        for batch in batches:
+            for text in batch.column(0).to_pylist():
+                for own in map(records.parse, records.texts(text)):
+                    # records that have the same names without anything inside add nothing
+                    plain = tuple(own) if not any(isinstance(v, (dict, list)) for v in own.values()) else None
+                    if plain is None or plain not in seen:
+                        shape = _merged(shape, _shape(own))
+                        if plain is not None and len(seen) < 1000:
+                            seen.add(plain)
         yield pa.RecordBatch.from_arrays([pa.array([shape.json()], pa.string())], names=["shape"])
 
-    parts = texts.select(F.explode(fragments(F.col("value"), record)).alias("x")).mapInArrow(run, "shape string").distinct()
     shape: T.DataType = T.StructType([])
-    for row in parts.toLocalIterator():
+    for row in texts.select("value").mapInArrow(run, "shape string").distinct().toLocalIterator():
         shape = _merged(shape, T.StructType.fromJson(json.loads(row["shape"])))
-    return _schema_of(shape, attributes)
+    return shape
 
 
-def _plain(t: T.DataType) -> T.DataType:
-    if isinstance(t, T.ArrayType):
-        return T.ArrayType(_plain(t.elementType))
-    if isinstance(t, T.StructType):
-        return T.StructType([T.StructField(f.name, _plain(f.dataType)) for f in t.fields])
-    return T.StringType()
+def xml_lines(texts: DataFrame, record: str, options: XmlOptions = XmlOptions(), schema: T.StructType | None = None) -> DataFrame:
+    """A line of JSON (a column `value`) for each record of the texts: its own shape, or that of the schema."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        records, encode = XmlRecords(record, options), json.JSONEncoder(ensure_ascii=False, separators=(",", ":")).encode
+        for batch in batches:
+            out = []
+            for text in batch.column(0).to_pylist():
+                for own in map(records.parse, records.texts(text)):
+                    out.append(encode(own if schema is None else _fitted(own, schema)))
+                    if len(out) >= 10_000:
+                        yield pa.RecordBatch.from_pydict({"value": pa.array(out, pa.string())})
+                        out = []
+            yield pa.RecordBatch.from_pydict({"value": pa.array(out, pa.string())})
 
-def _no_empty(column: Column, dtype: T.DataType, trim: bool) -> Column:
-    """Leaves: trimmed, backslash escapes decoded, empty ones null."""
-    if isinstance(dtype, T.ArrayType):
-        return F.filter(F.transform(column, lambda x: _no_empty(x, dtype.elementType, trim)), lambda x: x.isNotNull())
-    if isinstance(dtype, T.StructType):
-        return F.when(column.isNotNull(), F.struct(*(_no_empty(column.getField(f.name), f.dataType, trim).alias(f.name) for f in dtype.fields)))
-    for code, plain in (("n", "\n"), ("r", "\r"), ("t", "\t")):
-        column = F.replace(column, F.lit("\\" + code), F.lit(plain))
-    column = F.replace(column, F.lit('\\"'), F.lit('"'))
-    if trim:
-        column = F.regexp_replace(column, r"^\s+|\s+$", "")
-    return F.when(F.length(F.regexp_replace(column, r"\s+", "")) > 0, column)
+    return texts.select("value").mapInArrow(run, "value string")
 
 
 def parse_xml(texts: DataFrame, record: str, schema: T.StructType, options: XmlOptions = XmlOptions()) -> DataFrame:
-    """Records of the texts (a column `value`)."""
-    parts = texts.select(F.explode(fragments(F.col("value"), record)).alias("x"))
-    parsed = parts.select(F.from_xml("x", schema, {"attributePrefix": "@", "valueTag": VALUE, "ignoreSurroundingSpaces": str(options.trim).lower(), "mode": "FAILFAST"}).alias("r"))
-    return parsed.select(*(_no_empty(F.col("r").getField(f.name), f.dataType, options.trim).alias(f.name) for f in schema.fields))
+    """Records of the texts (a column `value`) as typed columns."""
+    return xml_lines(texts, record, options, schema).select(F.from_json("value", schema, {"mode": "FAILFAST"}).alias("r")).select("r.*")
+
+
+def xml_record(spark: SparkSession, path: str, options: XmlOptions) -> str:
+    return options.record or xml_elements(decoded(read_sample(spark, path)))[1] or "row"
 
 
-def read_xml(spark: SparkSession, path: str, options: XmlOptions = XmlOptions(), schema: T.StructType | None = None) -> DataFrame:
-    """Records of XML files; everything outside record elements is ignored. All leaves are texts, empty ones null.
+def read_xml(spark: SparkSession, path: str, options: XmlOptions = XmlOptions(), schema: T.StructType | None = None, variant: bool = False) -> DataFrame:
+    """Records of XML files, read in splits; all leaves are texts.
 
-    Without a schema, names and shapes are those of all records, found in
-    splits in a first pass; the sample only tells the record element. A file
-    is one task; with options.split, Spark's own source reads large
-    files in splits (it doesn't tolerate markup errors outside records).
+    Typed columns have the names and shapes of all records, found in a first
+    pass where no schema is given; or one VARIANT column `record` has each
+    record's own. The sample only tells the record element. A record that
+    ends with its file before its end tag is read as far as it goes, if it is
+    well-formed with one.
     """
-    record = options.record or xml_elements(decoded(read_sample(spark, path)))[1] or "row"
-    if schema is None:
-        schema = inferred_xml_schema(spark.read.option("lineSep", f"</{record}>").text(path).select(F.concat("value", F.lit(f"</{record}>")).alias("value")), record, options.attributes)
-    if not schema.fields:
-        return spark.createDataFrame([], T.StructType([]))
-    if options.split:
-        rows = spark.read.format("xml").schema(schema).option("rowTag", record).option("attributePrefix", "@").option("valueTag", VALUE).option("mode", "FAILFAST").load(path)
-        return rows.select(*(_no_empty(F.col("`" + f.name + "`"), f.dataType, options.trim).alias(f.name) for f in schema.fields))
-    return parse_xml(spark.read.text(path, wholetext=True), record, schema, options)
+    record = xml_record(spark, path, options)
+    pieces = xml_pieces(spark, path, record)
+    if variant:
+        return xml_lines(pieces, record, options).select(F.parse_json("value").alias("record"))
+    schema = inferred_xml_schema(pieces, record, options) if schema is None else schema
+    return parse_xml(pieces, record, schema, options) if schema.fields else spark.createDataFrame([], T.StructType([]))
+
+
+def read_lines(spark: SparkSession, path: str, fmt: str, xml: XmlOptions = XmlOptions()) -> DataFrame:
+    """A line of JSON (a column `value`) for each record of NDJSON, JSON or XML files, with its own keys, order and types."""
+    if fmt == "ndjson":
+        return checked(text_lines(spark, path))
+    if fmt == "json":
+        return json_elements(spark, path)
+    record = xml_record(spark, path, xml)
+    return xml_lines(xml_pieces(spark, path, record), record, xml)
 
 
 def read(spark: SparkSession, path: str, fmt: str = "auto", csv: CsvOptions = CsvOptions(), xml: XmlOptions = XmlOptions(), variant: bool = False) -> DataFrame:
@@ -335,4 +527,4 @@ def read(spark: SparkSession, path: str, fmt: str = "auto", csv: CsvOptions = Cs
         return read_ndjson(spark, path, variant=variant)
     if fmt == "json":
         return read_json(spark, path, variant=variant)
-    return read_xml(spark, path, xml)
+    return read_xml(spark, path, xml, variant=variant)

@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..errors import ConfigError
 from ..operators.flatten import flatten
 from ..operators.transform import quoted
 from ..options import format_name
+from .readers import variant_ddl
 
 
 def json_value(column: Column) -> Column:
@@ -79,8 +83,7 @@ def typed(df: DataFrame) -> DataFrame:
     shape = kept.agg(F.schema_of_variant_agg("record").alias("s")).first()["s"]
     if not shape or not shape.startswith("OBJECT<"):
         return df.sparkSession.createDataFrame([], T.StructType([]))
-    ddl = shape.replace("OBJECT<", "STRUCT<").replace("VOID", "STRING")
-    return kept.select(F.from_json(F.to_json("record"), ddl).alias("r")).select("r.*")
+    return kept.select(F.from_json(F.to_json("record"), T.StructType.fromDDL(variant_ddl(shape))).alias("r")).select("r.*")
 
 
 def render(df: DataFrame, fmt: str, dropped: set[str] = frozenset(), record: str = "record") -> DataFrame:
@@ -113,45 +116,79 @@ def enclosed(rows: DataFrame, first: str, between: str, last: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         begun = False
         for batch in batches:
-            values = batch.column(0).to_pylist()
-            if values:
-                out = [v if not begun and k == 0 else between + v for k, v in enumerate(values)]
-                if not begun:
-                    out[0] = first + out[0]
+            values = batch.column(0)
+            if len(values):
+                lead = pa.array([between if begun else first] + [between] * (len(values) - 1), values.type)
                 begun = True
-                yield pa.RecordBatch.from_pydict({"value": pa.array(out, pa.string())})
+                yield pa.RecordBatch.from_arrays([pc.binary_join_element_wise(lead, values, "")], names=["value"])
         yield pa.RecordBatch.from_pydict({"value": pa.array([last if begun else first + last], pa.string())})
 
     return rows.mapInArrow(run, "value string")
 
 
-def write(df: DataFrame, path: str, fmt: str, dropped: set[str] = frozenset(), root: str = "root", record: str = "record", single_file: bool = False, mode: str = "errorifexists") -> None:
-    """Writes a folder of part files, each a whole document of the format; single_file: just one part, for results that one task can write."""
-    fmt = format_name(fmt)
-    if fmt == "csv":
-        flat = flatten(typed(df))
-        flat = flat.select(*(as_text(quoted(f.name), f.dataType).alias(f.name) for f in flat.schema.fields))
-        flat = flat.coalesce(1) if single_file else flat
-        writer = flat.write.mode(mode).option("header", True).option("escape", '"').option("emptyValue", "").option("nullValue", "")
-        writer.option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path)
-        return
-    rows = render(df, fmt, dropped, record)
+def write_texts(rows: DataFrame, path: str, fmt: str, root: str = "root", single_file: bool = False, mode: str = "errorifexists") -> None:
+    """Writes what render() gives of JSON, NDJSON or XML (a column `value`) as whole documents."""
     rows = rows.coalesce(1) if single_file else rows
     if fmt == "json":
         rows = enclosed(rows, "[", ",", "]")
     elif fmt == "xml":
         rows = enclosed(rows, f"<{root}>\n", "", f"</{root}>")
-    rows.write.mode(mode).text(path)
+    _to_place(path, single_file, mode, rows, lambda writer, where: writer.text(where))
+
+
+def _to_place(path: str, single_file: bool, mode: str, rows: DataFrame, write) -> None:
+    """Writes a folder at path; for a single file, a folder beside it whose one part then gets the name path."""
+    if not single_file:
+        write(rows.write.mode(mode), path)
+        return
+    jvm, conf = rows.sparkSession.sparkContext._jvm, rows.sparkSession.sparkContext._jsc.hadoopConfiguration()
+    target, beside = jvm.org.apache.hadoop.fs.Path(path), jvm.org.apache.hadoop.fs.Path(f"{path}.parts-{uuid.uuid4().hex}")
+    files = target.getFileSystem(conf)
+    if files.exists(target):
+        if mode == "ignore":
+            return
+        if mode != "overwrite":
+            raise ConfigError(f"{path} is there already")
+    try:
+        write(rows.write, beside.toString())
+        part = next(s.getPath() for s in files.listStatus(beside) if s.getPath().getName().startswith("part-"))
+        if files.exists(target):
+            files.delete(target, True)
+        files.rename(part, target)
+    finally:
+        files.delete(beside, True)
+
+
+def write(df: DataFrame, path: str, fmt: str, dropped: set[str] = frozenset(), root: str = "root", record: str = "record", single_file: bool = False, mode: str = "errorifexists") -> None:
+    """Writes a folder of part files, each a whole document of the format; single_file: one file named path, for results that one task can write."""
+    fmt = format_name(fmt)
+    if fmt != "csv":
+        write_texts(render(df, fmt, dropped, record), path, fmt, root, single_file, mode)
+        return
+    flat = flatten(typed(df))
+    flat = flat.select(*(as_text(quoted(f.name), f.dataType).alias(f.name) for f in flat.schema.fields))
+    flat = flat.coalesce(1) if single_file else flat
+
+    def to_csv(writer, where: str) -> None:
+        writer = writer.option("header", True).option("escape", '"').option("emptyValue", "").option("nullValue", "")
+        writer.option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(where)
+
+    _to_place(path, single_file, mode, flat, to_csv)
 
 
 def to_text(df: DataFrame, fmt: str, dropped: set[str] = frozenset(), root: str = "root", record: str = "record") -> str:
     """A small result as one text on the driver, in the order of the input."""
     fmt = format_name(fmt)
+    if fmt == "csv":
+        df = typed(df)
     values = [r["value"] for r in render(df, fmt, dropped, record).collect()]
-    if fmt == "ndjson":
-        return "".join(v + "\n" for v in values)
+    return joined(values, fmt, csv_header(df) if fmt == "csv" and values else "", root)
+
+
+def joined(values: list[str], fmt: str, header: str = "", root: str = "root") -> str:
+    """Rows of text as one document."""
     if fmt == "json":
         return "[" + ",".join(values) + "]"
-    if fmt == "csv":
-        return "".join(v + "\n" for v in ([csv_header(df)] if values else []) + values)
-    return f"<{root}>\n" + "".join(v + "\n" for v in values) + f"</{root}>"
+    if fmt == "xml":
+        return f"<{root}>\n" + "".join(v + "\n" for v in values) + f"</{root}>"
+    return "".join(v + "\n" for v in ([header] if header else []) + values)

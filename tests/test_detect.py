@@ -5,7 +5,7 @@ from recordloom.sources.detect import csv_fields, detect_delimiter, detect_forma
 
 
 @pytest.mark.parametrize("text,want", [
-    ('{ "name": "Ada" }', "json"), ('{"a":1}\n{"a":2}', "ndjson"), ("<?xml version='1.0'?><root/>", "xml"), ("a;b;c\n1;2;3", "csv"),
+    ('{ "ship": "Dara" }', "json"), ('{"a":1}\n{"a":2}', "ndjson"), ("<?xml version='1.0'?><root/>", "xml"), ("a;b;c\n1;2;3", "csv"),
     ('[\n  {"a": 1},\n  {"a": 2}\n]', "json"), ("plain words only", None), ("", None), ("   \n ", None), ("<!DOCTYPE x><x/>", "xml"), ("﻿a,b\n1,2", "csv"), ("42", "json"), ("[1,2]\n[3,4]", "ndjson"),
 ])
 def test_format(text, want):
@@ -27,9 +27,9 @@ def test_fields():
 
 
 def test_record_elements():
-    movies = "<movies><movie><title>a</title><actor>x</actor><actor>y</actor></movie><movie><title>b</title><actor>z</actor></movie></movies>"
-    assert xml_elements(movies)[1] == "movie"
-    assert xml_elements("<rss><channel><title>t</title><item><title>a</title></item><item><title>b</title></item></channel></rss>")[1] == "item"
+    fleet = "<fleet><vessel><name>a</name><mast>x</mast><mast>y</mast></vessel><vessel><name>b</name><mast>z</mast></vessel></fleet>"
+    assert xml_elements(fleet)[1] == "vessel"
+    assert xml_elements("<log><year><name>t</name><day><name>a</name></day><day><name>b</name></day></year></log>")[1] == "day"
     assert xml_elements("<a><b>1</b></a>")[1] is None
     deep = "".join(f"<d{i}>" for i in range(30)) + "".join(f"</d{i}>" for i in reversed(range(30)))
     assert len(xml_elements(deep)[0]) == 30
