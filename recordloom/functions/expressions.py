@@ -105,13 +105,12 @@ class _Compiler:
 
     def number(self, value: Value) -> Column:
         """Null, lists, objects and texts that are no numbers are errors."""
-        number = value.number()
-        return F.when(number.isNull(), fail(f"not a number in {self.source!r}")).otherwise(number)
+        return F.coalesce(value.number(), fail(f"not a number in {self.source!r}").cast("double"))
 
     def arithmetic(self, sign: str, left: Value, right: Value) -> Value:
         a, b = self.number(left), self.number(right)
         if sign == "/":
-            return Value(finite(F.coalesce(F.try_divide(a, b), F.when(a.isNotNull() & b.isNotNull(), 0.0))), "float")
+            return Value(finite(F.coalesce(F.try_divide(a, b), F.lit(0.0))), "float")
         return Value(finite({"+": a + b, "-": a - b, "*": a * b}[sign]), "float")
 
     def call(self, name: str) -> Value:
@@ -126,8 +125,7 @@ class _Compiler:
         if name in ("lower", "upper", "trim"):
             if len(args) != 1:
                 raise self.error(f"{name} takes one argument")
-            text = args[0].only_text()
-            text = F.when(text.isNull(), fail(f"{name} takes a text in {self.source!r}")).otherwise(text)
+            text = F.coalesce(args[0].only_text(), fail(f"{name} takes a text in {self.source!r}").cast("string"))
             return Value({"lower": F.lower, "upper": F.upper, "trim": lambda c: F.regexp_replace(c, _ENDS, "")}[name](text), "text")
         if name == "concat":
             return Value(F.concat_ws("", *(a.json_text() for a in args)) if args else F.lit(""), "text")

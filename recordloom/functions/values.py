@@ -32,8 +32,8 @@ def kind_of(dtype: T.DataType) -> str:
 
 
 def finite(number: Column) -> Column:
-    """Numbers that are not finite count as 0."""
-    return F.when(F.isnan(number) | (F.abs(number) == float("inf")), 0.0).otherwise(number)
+    """Numbers that are not finite count as 0. (What remains after division by infinity is a finite number itself and NaN for others; so the number is named, and computed, once.)"""
+    return F.nanvl(number % F.lit(float("inf")), F.lit(0.0))
 
 
 def text_number(text: Column) -> Column:
@@ -47,13 +47,14 @@ def text_whole(text: Column) -> Column:
 
 @dataclass(frozen=True)
 class Value:
-    """A column and what is known of its kind: text, int, float, bool, null, complex or variant."""
+    """A column and what is known of its kind: text, int, float, bool, null, complex or variant; schema: of a variant, where a column has it."""
 
     column: Column
     kind: str
+    schema: Column | None = None
 
     def variant_kind(self) -> Column:
-        return F.schema_of_variant(self.column)
+        return F.schema_of_variant(self.column) if self.schema is None else self.schema
 
     def by_kind(self, *, text=None, int=None, float=None, bool=None, complex=None) -> Column:
         """What the function for the value's kind gives; null where there is none. For variants, row by row."""

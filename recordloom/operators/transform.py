@@ -88,20 +88,26 @@ class TransformPlan:
         was = value.column if value.kind == "variant" else F.try_variant_get(F.to_variant_object(F.array(value.column)), "$[0]", "variant")
         return Value(F.when(value.is_null(), one).otherwise(was), "variant")
 
-    def compile(self, df: DataFrame, record: str | None = None, carry: str | None = None) -> DataFrame:
+    def compile(self, df: DataFrame, record: str | None = None, carry: str | None = None, is_object: Column | None = None) -> DataFrame:
         """df transformed. Fields see the input only, never earlier targets; of equal targets the last wins.
 
         With record, the name of a VARIANT column that holds whole records,
-        every record has its own types; a record that is no object is an error.
-        carry names a column of df that is passed on beside the targets.
+        every record has its own types; a record that is no object (is_object
+        tells, or else its schema) is an error. carry names a column of df
+        that is passed on beside the targets.
         """
         config = self.config
         asked = tuple({f.origin or f.target for f in config.fields} | {n for f in config.fields if f.compute for n in _names(f.compute)})
         fields = fields_of(df, record, asked)
         alive, columns = F.lit(True), {}
         if record is not None:
-            is_object = F.schema_of_variant(quoted(record)).startswith("OBJECT")
-            alive = F.when(~is_object, fail("Transform expects object records").cast("boolean")).otherwise(F.lit(True))
+            # what is asked for is taken out of the record once, in a step that the optimiser doesn't merge with those that use it
+            is_object = F.schema_of_variant(quoted(record)).startswith("OBJECT") if is_object is None else is_object
+            parts = [(v.column.alias(f"f{k}"), F.schema_of_variant(v.column).alias(f"s{k}")) for k, v in enumerate(fields.values())]
+            taken = F.struct(is_object.alias("o"), *(c for pair in parts for c in pair))
+            df = df.select(*([quoted(carry)] if carry else []), F.explode(F.array(taken)).alias(_ROW))
+            fields = {n: Value(F.col(_ROW).getField(f"f{k}"), v.kind, F.col(_ROW).getField(f"s{k}")) for k, (n, v) in enumerate(fields.items())}
+            alive = F.when(~F.col(_ROW).getField("o"), fail("Transform expects object records").cast("boolean")).otherwise(F.lit(True))
         drops = False
         for f in config.fields:
             column, keep = self._field(f, fields, alive)
@@ -133,9 +139,9 @@ def transform(df: DataFrame, config: Transform | dict, record: str | None = None
     return TransformPlan(config).compile(df, record)
 
 
-def augmented_variant(record: str, df: DataFrame, targets: list[str]) -> Column:
-    """A VARIANT record with columns of df over its own fields."""
-    as_map = quoted(record).cast(T.MapType(T.StringType(), T.VariantType()))
+def augmented_variant(record: Column, targets: list[str]) -> Column:
+    """A VARIANT record with the targets' columns over its own fields."""
+    as_map = record.cast(T.MapType(T.StringType(), T.VariantType()))
     new = F.map_from_arrays(F.array(*(F.lit(t) for t in targets)), F.array(*(F.try_variant_get(F.to_variant_object(F.array(quoted(t))), "$[0]", "variant") for t in targets)))
     rest = F.map_filter(as_map, lambda k, _: ~k.isin(targets))
     return F.to_variant_object(F.map_concat(rest, new))

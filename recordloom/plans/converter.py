@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..errors import ConfigError, ConvertError, of_spark
-from ..operators.transform import TransformPlan, augmented_variant
+from ..operators.transform import TransformPlan
 from ..options import ConverterConfig, CsvOptions, Transform, XmlOptions, format_name
 from ..scratch import scratch_path
 from ..sources import detect, readers, sinks
@@ -84,6 +84,10 @@ def own_errors():
         raise
 
 
+#: The name of the column of a record's own text while it is transformed.
+_LINE = "__line"
+
+
 class Converter:
     """A conversion between any two formats, with or without a transform. All are one composition of a reader, the transform and a writer."""
 
@@ -102,12 +106,21 @@ class Converter:
         if df.columns == ["record"] and isinstance(df.schema["record"].dataType, T.VariantType):
             if self.plan.config.mode == "replace":
                 return self.plan.compile(df, "record")
-            # the targets over the record's own fields
-            targets = list(dict.fromkeys(f.target for f in self.plan.config.fields))
-            out = self.plan.compile(df, "record", carry="record")
-            return out.select(augmented_variant("record", out, targets).alias("record"))
+            lines = df.select(F.to_json("record").alias(_LINE))
+            return self.transformed_lines(lines, _LINE).select(F.parse_json("value").alias("record"))
         return self.plan.compile(df)
 
+    def transformed_lines(self, lines: DataFrame, name: str = "value") -> DataFrame:
+        """Records as lines of JSON (in the column `name`), transformed; a column `value` of lines."""
+        line = F.col(name)
+        rows = lines.select(line.alias(_LINE), F.parse_json(line).alias("record"))
+        is_object = F.startswith(F.ltrim(F.col(_LINE), F.lit(" \t\r\n")), F.lit("{"))
+        if self.plan.config.mode == "replace":
+            return sinks.render(self.plan.compile(rows, "record", is_object=is_object), "ndjson", self.plan.dropped)
+        targets = list(dict.fromkeys(f.target for f in self.plan.config.fields))
+        out = self.plan.compile(rows, "record", carry=_LINE, is_object=is_object)
+        return out.select(sinks.augmented_line(F.col(_LINE), targets, self.plan.dropped).alias("value"))
+
     def convert(self, path: str, variant: bool = False) -> DataFrame:
         """The converted records as a DataFrame: typed columns, or one VARIANT column `record` with each record's own keys and types."""
         return self.transformed(self.records(path, variant))
@@ -132,7 +145,7 @@ class Converter:
         lines = readers.read_lines(self.spark, path, fmt, c.xml)
         if self.plan is None:
             return lines
-        return sinks.render(self.transformed(lines.select(F.parse_json("value").alias("record"))), c.output, self.plan.dropped)
+        return self.transformed_lines(lines)
 
     def run(self, source: str, target: str, single_file: bool = False, variant: bool | None = None, mode: str = "errorifexists") -> Stats:
         """Converts files to a folder of files (single_file: to one file) and counts the records on the way.

@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 
 from ..errors import ConfigError
 from ..operators.flatten import flatten
-from ..operators.transform import quoted
+from ..operators.transform import augmented_variant, quoted
 from ..options import format_name
 from .readers import variant_ddl
 
@@ -30,12 +30,30 @@ def json_line(df: DataFrame, dropped: set[str] = frozenset()) -> Column:
         return F.to_json(F.col("record"))
     if not set(df.columns) & set(dropped):
         return F.to_json(F.struct(*(quoted(c) for c in df.columns)), {"ignoreNullFields": "false"})
+    return F.concat(F.lit("{"), json_members(df.columns, dropped), F.lit("}"))
+
+
+def json_members(columns: list[str], dropped: set[str] = frozenset()) -> Column:
+    """Columns as the inside of a JSON object; those in dropped are left out where they are null."""
     parts = []
-    for c in df.columns:
-        name = F.lit(_json_text(c) + ":")
-        part = F.concat(name, json_value(quoted(c)))
+    for c in columns:
+        part = F.concat(F.lit(_json_text(c) + ":"), json_value(quoted(c)))
         parts.append(F.when(quoted(c).isNotNull(), part) if c in dropped else part)
-    return F.concat(F.lit("{"), F.concat_ws(",", *parts), F.lit("}"))
+    return F.concat_ws(",", *parts)
+
+
+def augmented_line(line: Column, targets: list[str], dropped: set[str] = frozenset()) -> Column:
+    """A JSON object's text with the targets' columns over its own fields: added to the text, or where it has one of them, put in its place."""
+    text = F.trim(line, F.lit(" \t\r\n"))
+    inside = F.substring(text, F.lit(1), F.length(text) - 1)
+    added = json_members(targets, dropped)
+    comma = F.when((F.length(added) == 0) | text.rlike(r"^\{\s*\}$"), "").otherwise(",")
+    kept = F.to_json(augmented_variant(F.parse_json(line), [t for t in targets]))
+    # a target that is dropped here leaves the field that it would overwrite
+    for t in [t for t in targets if t in dropped]:
+        others = [x for x in targets if x != t]
+        kept = F.when(quoted(t).isNull(), F.to_json(augmented_variant(F.parse_json(line), others)) if others else text).otherwise(kept)
+    return F.when(F.arrays_overlap(F.json_object_keys(text), F.array(*(F.lit(t) for t in targets))), kept).otherwise(F.concat(inside, comma, added, F.lit("}")))
 
 
 def _json_text(text: str) -> str:
