@@ -300,7 +300,8 @@ def read_json(spark: SparkSession, path: str, schema: T.StructType | None = None
     if variant:
         return lines.select(F.parse_json("value").alias("record"))
     if schema is None:
-        shape = lines.select(F.parse_json("value").alias("v")).filter(F.schema_of_variant("v").startswith("OBJECT")).agg(F.schema_of_variant_agg("v").alias("s")).first()["s"]
+        objects = lines.filter(F.startswith(F.ltrim("value"), F.lit("{")))
+        shape = objects.agg(F.schema_of_variant_agg(F.parse_json("value")).alias("s")).first()["s"]
         if not shape or not shape.startswith("OBJECT<"):
             return spark.createDataFrame([], T.StructType([]))
         schema = T.StructType.fromDDL(variant_ddl(shape))
