@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .shared import materialise
+from .textkit import tidy
 
 #: Nodes that a task holds at once at most.
 MOST_NODES = 200_000
@@ -43,7 +44,7 @@ def forest(edges: DataFrame, roots: bool = False) -> DataFrame:
                 yield flush()
         yield flush()
 
-    return edges.select("a", "b").mapInArrow(run, "a long, b long")
+    return edges.select("a", "b").mapInArrow(tidy(run), "a long, b long")
 
 
 def components(edges: DataFrame) -> DataFrame:

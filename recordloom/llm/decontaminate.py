@@ -23,10 +23,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .shared import OWN, discard, materialise, table
-from .textkit import ALNUM, U64, Chunk, Sequences, chunks, ranges, words
+from .textkit import ALNUM, U64, Chunk, Sequences, chunks, ranges, tidy, words
 
 #: Words of a window; bytes of benchmark text that are broadcast at once; bytes of text in a shard.
-WINDOW, BLOCK_BYTES, SHARD_BYTES = 10, 32 << 20, 4 << 20
+WINDOW, BLOCK_BYTES, SHARD_BYTES = 10, 32 << 20, 1 << 20
 N_WORDS, N_HIT, LONGEST, SPANS, ITEMS, MATCHES = (OWN + x for x in ("n_words", "n_hit", "longest", "spans", "items", "matches"))
 _SPAN = pa.struct([("first", pa.int64()), ("last", pa.int64())])
 _MATCH = pa.struct([("item_id", pa.string()), ("at", pa.int64()), ("first", pa.int64()), ("words", pa.int64())])
@@ -233,7 +233,7 @@ def find(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_text: s
         held = docs.sparkSession.sparkContext.broadcast(queries)
         counts = ", ".join(f"{c} long" for c in KINDS.names[:3])
         found = T.StructType.fromDDL(f"{counts}, {_FOUND}" + ("" if last else f", {own} string"))
-        got = got.mapInArrow(_searcher(held, keep, last), T.StructType(got.select(*keep).schema.fields + found.fields))
+        got = got.mapInArrow(tidy(_searcher(held, keep, last)), T.StructType(got.select(*keep).schema.fields + found.fields))
         if not last:
             got = materialise(got.select(*keep, F.struct(SPANS, ITEMS, MATCHES).alias(OWN + "was"), own), "block")
             held.destroy()

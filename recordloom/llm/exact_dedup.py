@@ -16,7 +16,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import OWN, materialise, new_path, one_of_repeated, table
+from .shared import OWN, discard, materialise, new_path, one_of_repeated, table
 
 #: Fixed value: the white space that does not count.
 SPACES = " \t\n\x0b\x0c\r"
@@ -97,7 +97,8 @@ class DigestIndex:
         """One row a digest of rows (DIGEST, KEEP, LENGTH): those that the index doesn't have, by a sort-merge anti-join, and those that it has."""
         best = F.max(F.struct(F.col(LENGTH).alias("n"), (-F.col(KEEP)).alias("k"))).alias("b")
         found = rows.groupBy(DIGEST).agg(best, F.count(F.lit(1)).alias(SIZE)).select(DIGEST, (-F.col("b.k")).alias(KEEP), F.col("b.n").alias(LONG), SIZE)
-        found = materialise(found, "candidates").repartition(self.buckets, DIGEST)
+        self.candidates = materialise(found, "candidates")
+        found = self.candidates.repartition(self.buckets, DIGEST)
         if not self._done():
             return found, found.limit(0)
         known = self.log().filter(NEW).select(DIGEST).hint("merge")
@@ -116,6 +117,7 @@ class DigestIndex:
             both.write.bucketBy(self.buckets, DIGEST).sortBy(DIGEST).mode("append").option("path", self.path).saveAsTable(name)
         finally:
             self.spark.sql(f"DROP TABLE `{name}`")
+        discard(self.candidates)
         self._mark(f"done-{self.call}-{part}")
 
     def assign(self, rows: DataFrame) -> DataFrame:
@@ -162,6 +164,7 @@ def exact_dedup(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", pat
     if keep == [doc_id]:
         got = index.assign(rows.withColumn(doc_id, F.col(KEEP)).drop(KEEP))
     else:
+        discard(rows)
         got = index.assign(docs.withColumns({DIGEST: digest(text), LENGTH: code_points(text)}).select(*keep, DIGEST, LENGTH))
     same = F.col(doc_id).cast("long").eqNullSafe(F.col(KEEP)) & (F.col(LENGTH) == F.col(LONG)) & (F.col(CALL) == index.call)
     return got.withColumn(OWN + "kept", same)

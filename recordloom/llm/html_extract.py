@@ -31,7 +31,8 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import OWN, materialise, table
+from .shared import OWN, discard, materialise, table
+from .textkit import tidy
 
 TEXT, N_CHARS = OWN + "main", OWN + "n_chars"
 #: Pages of a host from which a template is deduced at least; the share of a host's pages that a template token is in at least; the share of varying text that an article holds at least to be the main slot.
@@ -230,7 +231,7 @@ def occurrences(pages: DataFrame) -> DataFrame:
             if sums:
                 yield pa.RecordBatch.from_arrays([*(pa.array(x) for x in zip(*sums)), *(pa.array(x, pa.int64()) for x in zip(*sums.values()))], names=[c.split(" ")[0] for c in shape.split(", ")])
 
-    return pages.mapInArrow(run, shape)
+    return pages.mapInArrow(tidy(run), shape)
 
 
 def order_of(tokens: list[tuple[str, int]]) -> str | None:
@@ -262,7 +263,7 @@ def orders(pages: DataFrame, classes: DataFrame) -> DataFrame:
             if found:
                 yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*found), (pa.string(), pa.int32(), pa.string()))], names=["host", "class", "order"])
 
-    return pages.select("host", "html").join(classes, "host").mapInArrow(run, "host string, class int, order string")
+    return pages.select("host", "html").join(classes, "host").mapInArrow(tidy(run), "host string, class int, order string")
 
 
 def templates(pages: DataFrame) -> DataFrame:
@@ -295,7 +296,10 @@ def templates(pages: DataFrame) -> DataFrame:
     once = frequent.filter((F.col("total") == F.col("support")) & F.col("kind").isin(*CONTAINERS) & ~F.col("boilerplate"))
     main = once.select("host", "path", "kind").join(held, ["host", "path"]).join(every, "host").filter(holds).groupBy("host").agg(F.max(best)["path"].alias("main"))
     constant = text.groupBy("host").agg(F.collect_list("token").alias("constant"))
-    return sizes.select("host").join(main, "host", "left").join(constant, "host", "left").select("host", "main", F.coalesce("constant", F.array().cast("array<string>")).alias("constant"))
+    known = sizes.select("host").join(main, "host", "left").join(constant, "host", "left").select("host", "main", F.coalesce("constant", F.array().cast("array<string>")).alias("constant"))
+    known = materialise(known, "templates")
+    discard(tokens, ranked, text)
+    return known
 
 
 def extract(html: str, main: str | None = None, constant: frozenset[str] = frozenset()) -> str:
@@ -321,7 +325,7 @@ def extract_main(pages: DataFrame, html: str = "html", url: str = "url", page_id
     own = [OWN + x for x in ("host", "html", "template_main", "template_text")]
     page = F.xxhash64(F.col(page_id), F.col(url), F.col(html))
     known = pages.select(host(F.col(url)).alias("host"), page.alias("page"), F.col(html).alias("html")).filter("host <> ''")
-    deduced = materialise(templates(known), "templates").withColumnsRenamed({"host": own[0], "main": own[2], "constant": own[3]})
+    deduced = templates(known).withColumnsRenamed({"host": own[0], "main": own[2], "constant": own[3]})
     rows = pages.select(*keep, host(F.col(url)).alias(own[0]), F.col(html).alias(own[1])).join(deduced, own[0], "left").select(*keep, *own[1:])
     schema = pages.select(*keep).withColumns({TEXT: F.lit(""), N_CHARS: F.lit(0).cast("long")}).schema
     n = len(keep)
@@ -331,7 +335,7 @@ def extract_main(pages: DataFrame, html: str = "html", url: str = "url", page_id
             texts = [extract(h.as_py() or "", m.as_py(), frozenset(c.as_py() or ())) for h, m, c in zip(*batch.columns[n:])]
             yield pa.RecordBatch.from_arrays([*batch.columns[:n], pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=[*keep, TEXT, N_CHARS])
 
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(tidy(run), schema)
 
 
 def op6_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:

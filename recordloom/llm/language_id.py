@@ -17,11 +17,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .shared import OWN, crc_mod, partial_sums, summed, table
-from .textkit import _LOWER, Chunk, chunks
+from .textkit import _LOWER, Chunk, chunks, tidy
 
 #: Buckets of n-grams (a power of two), orders of n-grams, added to each count; languages at most, which bounds the broadcast.
 BUCKETS, ORDERS, SMOOTHING, MOST_LANGS = 1 << 15, (1, 2, 3), 0.5, 256
-SLICE = 4096
+SLICE, PART_BYTES = 4096, 1 << 18
 LANG, SCORE = OWN + "lang", OWN + "score"
 _FACTORS = (0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D, 0x27D4EB2F, 0x165667B1)
 _LETTER = regex.compile(r"\p{L}")
@@ -109,7 +109,7 @@ def fit(docs: DataFrame, text: str = "text", lang: str = "lang", buckets: int =
                 counts[name] = np.zeros((len(orders), buckets), np.int64)
                 if len(counts) > MOST_LANGS:
                     raise ValueError(f"more than {MOST_LANGS} languages")
-            for chunk in chunks(batch.column(1)):
+            for chunk in chunks(batch.column(1), PART_BYTES):
                 here = names[chunk.lo : chunk.hi]
                 distinct = sorted(set(here))
                 code = np.array([distinct.index(x) for x in here])
@@ -124,7 +124,7 @@ def fit(docs: DataFrame, text: str = "text", lang: str = "lang", buckets: int =
             cuts = range(0, len(flat), SLICE)
             yield partial_sums({"lang": [name] * len(cuts), "slice": [i // SLICE for i in cuts]}, [flat[i : i + SLICE] for i in cuts])
 
-    got = summed(rows.mapInArrow(count, "lang string, slice long, task int, width int, sums binary"), ["lang", "slice"]).toPandas()
+    got = summed(rows.mapInArrow(tidy(count), "lang string, slice long, task int, width int, sums binary"), ["lang", "slice"]).toPandas()
     docs_of = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).limit(MOST_LANGS + 1).collect()}
     langs = sorted(docs_of)
     if len(langs) > MOST_LANGS:
@@ -153,13 +153,13 @@ def predict(docs: DataFrame, model: Model, text: str = "text", keep: list[str] |
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             langs, scores = [], [np.zeros(0)]
-            for chunk in chunks(batch.column(len(keep))):
+            for chunk in chunks(batch.column(len(keep)), PART_BYTES):
                 names, score = held.value.predict(chunk)
                 langs += names
                 scores.append(score)
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(langs, pa.string()), pa.array(np.concatenate(scores))], names=[*keep, LANG, SCORE])
 
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(tidy(run), schema)
 
 
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from .components import components
 from .shared import OWN, discard, materialise, one_of_repeated, table
-from .textkit import NOT_SPACE, U64, Chunk, Sequences, chunks, mix, ranges, words
+from .textkit import NOT_SPACE, U64, Chunk, Sequences, chunks, mix, ranges, tidy, words
 
 #: Registers of a signature; the most that banding may miss of the pairs just at the threshold, and again that wide bands may.
 REGISTERS, MISSED = 120, 1e-6
@@ -146,7 +146,7 @@ def sketch(docs: DataFrame, text: str, doc_id: str, size: int, in_band: int) ->
                 )
 
     rows = docs.select(F.col(doc_id).cast("long").alias("node"), F.xxhash64(text).alias("key"), F.col(text).alias("text"))
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(tidy(run), schema)
 
 
 def verify(pairs: DataFrame, texts: DataFrame, size: int, similar: tuple[int, int]) -> DataFrame:
@@ -178,7 +178,7 @@ def verify(pairs: DataFrame, texts: DataFrame, size: int, similar: tuple[int, in
             yield pa.RecordBatch.from_arrays([a.filter(keep), b.filter(keep)], names=["a", "b"])
 
     joined = pairs.join(texts.withColumnsRenamed({"node": "a", "text": "ta"}), "a").join(texts.withColumnsRenamed({"node": "b", "text": "tb"}), "b")
-    return joined.select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long").distinct()
+    return joined.select("a", "b", "ta", "tb").mapInArrow(tidy(run), "a long, b long").distinct()
 
 
 def wide_bands(data: DataFrame, size: int, in_band: int) -> DataFrame:
@@ -193,7 +193,7 @@ def wide_bands(data: DataFrame, size: int, in_band: int) -> DataFrame:
                     bands = bands_of(superminhash(mix(values ^ mix(np.array([k], U64) + U64(1 << 40))), first), in_band, k + 1)
                     yield pa.RecordBatch.from_arrays([*own, lists_of(bands)], names=["node", "key", "n", "group", "bands"])
 
-    lists = data.select("node", "key", "n", "group", "text").mapInArrow(run, "node long, key long, n long, group long, bands array<long>")
+    lists = data.select("node", "key", "n", "group", "text").mapInArrow(tidy(run), "node long, key long, n long, group long, bands array<long>")
     return lists.select("node", "key", "n", "group", F.explode("bands").alias("band"))
 
 
@@ -211,7 +211,7 @@ def spread(data: DataFrame, size: int) -> DataFrame:
                     columns = [pa.array(values[part].view(np.int64)), *(pa.array(c[row[part]]) for c in own)]
                     yield pa.RecordBatch.from_arrays(columns, names=["shingle", "family", "node", "key", "n", "group"])
 
-    return data.select("family", "node", "key", "n", "group", "text").mapInArrow(run, "shingle long, family long, node long, key long, n long, group long")
+    return data.select("family", "node", "key", "n", "group", "text").mapInArrow(tidy(run), "shingle long, family long, node long, key long, n long, group long")
 
 
 def class_base(similar: tuple[int, int]) -> float:
@@ -342,6 +342,7 @@ def link(members: DataFrame, docs: DataFrame, text: str, doc_id: str, size: int,
     live = buckets.select("band", "node", "key", "n", F.col("node").alias("group")).join(central, "node")
     close = F.least("n", "pn") * of >= F.greatest("n", "pn") * least
     tested = groups = None
+    temporary = [buckets, texts]
 
     def verified(pairs: DataFrame) -> DataFrame:
         """Links among the pairs that have not been compared before; they count as compared from now on."""
@@ -350,7 +351,9 @@ def link(members: DataFrame, docs: DataFrame, text: str, doc_id: str, size: int,
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
         pairs = materialise(pairs, "pairs")
         tested = pairs if tested is None else tested.unionByName(pairs)
-        return materialise(verify(pairs, texts, size, similar), "links")
+        links = materialise(verify(pairs, texts, size, similar), "links")
+        temporary.extend((pairs, links))
+        return links
 
     def joined(links: DataFrame) -> DataFrame:
         edges = links if groups is None else links.unionByName(groups.select(F.col("node").alias("a"), F.col("component").alias("b")))
@@ -366,13 +369,18 @@ def link(members: DataFrame, docs: DataFrame, text: str, doc_id: str, size: int,
         before, after = live.agg(count).first()["n"], now.agg(count).first()["n"]
         live = materialise(mixed(now), "live")
         discard(now)
+        temporary.append(live)
         if live.isEmpty():
+            discard(*temporary)
             return groups
         if after > before * (1 - JOINED):
             break
         step += 1
     found = remaining(live, texts, size, similar)
-    return groups if found is None else joined(verified(found[0]))
+    if found is not None:
+        groups = joined(verified(found[0]))
+    discard(*temporary)
+    return groups
 
 
 def near_dedup(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", size: int = SHINGLE, similar: tuple[int, int] = SIMILAR) -> DataFrame:

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .shared import OWN, materialise, table
-from .textkit import chunks
+from .textkit import chunks, tidy
 
 TEXT, ENTITIES = OWN + "surrogated", OWN + "entities"
 #: The key of the registered query, which is a test.
@@ -274,7 +274,7 @@ def mentions(rows: DataFrame) -> DataFrame:
                             c.append(x)
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.int64(), pa.string(), pa.string()))], names=["doc", "sum", "kind", "value"])
 
-    return rows.mapInArrow(run, "doc long, sum long, kind string, value string")
+    return rows.mapInArrow(tidy(run), "doc long, sum long, kind string, value string")
 
 
 def drawn(entities: DataFrame, key: bytes, attempt: int) -> DataFrame:
@@ -285,7 +285,7 @@ def drawn(entities: DataFrame, key: bytes, attempt: int) -> DataFrame:
             new = [surrogate(key, k, v, attempt) for k, v in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(new, pa.string())], names=["kind", "value", "new"])
 
-    return entities.select("kind", "value").mapInArrow(run, "kind string, value string, new string")
+    return entities.select("kind", "value").mapInArrow(tidy(run), "kind string, value string, new string")
 
 
 def exceptions(entities: DataFrame, key: bytes) -> DataFrame | None:
@@ -356,7 +356,7 @@ def pseudonymise(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", *,
                 spans.append(where)
             yield pa.RecordBatch.from_arrays([*batch.columns[:n], pa.array(texts, pa.string()), pa.array(spans, kind)], names=[*keep, TEXT, ENTITIES])
 
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(tidy(run), schema)
 
 
 def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .shared import OWN, crc_mod, partial_sums, summed, table
-from .textkit import U64, Chunk, chunks, mix, words
+from .textkit import U64, Chunk, chunks, mix, tidy, words
 
 #: Buckets of words, dimensions, non-zeros of an index vector, neighbours on either side.
 BUCKETS, DIMENSIONS, NONZEROS, REACH = 1 << 14, 32, 2, 2
@@ -71,7 +71,7 @@ def word_vectors(docs: DataFrame, text: str = "text", buckets: int = BUCKETS, di
         cuts = range(0, len(total), SLICE)
         yield partial_sums({"slice": [i // SLICE for i in cuts]}, [total[i : i + SLICE] for i in cuts])
 
-    got = summed(rows.mapInArrow(run, "slice long, task int, width int, sums binary"), ["slice"]).toPandas().sort_values("slice")
+    got = summed(rows.mapInArrow(tidy(run), "slice long, task int, width int, sums binary"), ["slice"]).toPandas().sort_values("slice")
     flat = np.concatenate([np.zeros(0, np.int64), *(np.frombuffer(x, f"i{w}") for w, x in zip(got["width"], got["sums"]))])
     out = (flat if len(flat) else np.zeros(buckets * dimensions)).reshape(buckets, dimensions).astype(float)
     length = np.sqrt((out**2).sum(1, keepdims=True))
@@ -170,7 +170,7 @@ def vectors_of(docs: DataFrame, vectors: np.ndarray, text: str, keep: list[str],
             got = pa.array(list(x), pa.list_(pa.float32())) if net is None else pa.array(net.score(x))
             yield pa.RecordBatch.from_arrays([*batch.columns[:n], got], names=[*keep, name])
 
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(tidy(run), schema)
 
 
 def fit(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "doc_id", label: str = "quality", most: int = MOST_LABELLED) -> tuple[np.ndarray, Network]:

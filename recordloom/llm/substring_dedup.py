@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .shared import OWN, discard, materialise, table
-from .textkit import NOT_SPACE, U64, Chunk, Sequences, Words, chunks, ranges, words
+from .textkit import NOT_SPACE, U64, Chunk, Sequences, Words, chunks, ranges, tidy, words
 
 #: Words of a window (the least repeat) and of a seed.
 WINDOW, SEED = 13, 5
@@ -81,7 +81,7 @@ def occurrences(rows: DataFrame, window: int, seed: int, places: bool) -> DataFr
                 for lo in range(0, len(start), 50_000):
                     yield pa.RecordBatch.from_pydict({k: pa.array(v[lo : lo + 50_000]) for k, v in out.items()})
 
-    return rows.mapInArrow(run, shape)
+    return rows.mapInArrow(tidy(run), shape)
 
 
 def extend(rows: DataFrame, window: int) -> DataFrame:
@@ -106,7 +106,7 @@ def extend(rows: DataFrame, window: int) -> DataFrame:
                     at = of[lo : lo + 50_000]
                     yield pa.RecordBatch.from_pydict({"seed": seed[at], "stretch": stretch[at], "doc": docs[chunk.lo + row[at]], "k": k[lo : lo + 50_000], "value": value[lo : lo + 50_000]})
 
-    return rows.mapInArrow(run, "seed long, stretch long, doc long, k long, value long")
+    return rows.mapInArrow(tidy(run), "seed long, stretch long, doc long, k long, value long")
 
 
 def marks(rows: DataFrame, window: int, seed: int) -> DataFrame:
@@ -192,7 +192,7 @@ def substring_dedup(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
                 part = found.slice(chunk.lo, chunk.hi - chunk.lo)
                 yield pa.RecordBatch.from_arrays([*(c.slice(chunk.lo, len(part)) for c in batch.columns[:n]), *clean(chunk, part, window, span)], names=[*keep, N_WORDS, N_REMOVED, KEPT, SPANS])
 
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(tidy(run), schema)
 
 
 def clean(chunk: Chunk, found: pa.ListArray, window: int, span: pa.DataType) -> list[pa.Array]:

@@ -7,7 +7,8 @@ passes over the bytes, so no Python code runs once a word.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -19,6 +20,18 @@ U64 = np.uint64
 _GOLD = 0x9E3779B97F4A7C15
 
 
+def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """run, after which a worker, which waits for further tasks, gives memory that it doesn't use back to the system."""
+
+    def inner(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+            trim(0)
+
+    return inner
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit values that spreads every bit (the splitmix64 finaliser)."""
     with np.errstate(over="ignore"):
@@ -37,7 +50,7 @@ class Powers:
 
     def get(self, n: int) -> tuple[np.ndarray, np.ndarray]:
         if len(self.up) < n:
-            size = max(n, CHUNK + 1)
+            size = max(n, 2 * len(self.up), 1 << 12)
             with np.errstate(over="ignore"):
                 self.up, self.down = (
                     np.concatenate([np.ones(1, U64), np.cumprod(np.full(size - 1, b, U64))])

@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .shared import OWN, materialise, new_path, table
+from .textkit import tidy
 
 #: Fixed values of the formats.
 MAGIC = b"\x1f\x8b\x08"
@@ -115,7 +116,7 @@ def write_warc(pages: DataFrame, path: str, html: str = "html", url: str = "url"
             store.move(name + ".tmp", name)
             yield pa.RecordBatch.from_pydict({"path": [name[len(folder) + 1 :]], "bytes": [size], "records": [count]})
 
-    got = materialise(rows.mapInArrow(run, "path string, bytes long, records long"), "archives")
+    got = materialise(rows.mapInArrow(tidy(run), "path string, bytes long, records long"), "archives")
     return got.select(F.concat(F.lit(path.rstrip("/") + "/"), "path").alias("path"), "bytes", "records")
 
 
@@ -241,7 +242,7 @@ def read_warc(archives: DataFrame, split_bytes: int = SPLIT_BYTES, payload: bool
                     yield pa.RecordBatch.from_pylist([dict(zip(names, x)) for x in out], schema)
 
     tasks = archives.sparkSession.sparkContext.defaultParallelism
-    return splits.repartition(max(tasks, int(archives.sparkSession.conf.get("spark.sql.shuffle.partitions")))).mapInArrow(run, shape)
+    return splits.repartition(max(tasks, int(archives.sparkSession.conf.get("spark.sql.shuffle.partitions")))).mapInArrow(tidy(run), shape)
 
 
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
