@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -10,11 +11,12 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.listener import StreamingQueryListener
 
-from ..errors import ConvertError, UnsupportedError
+from ..errors import ConfigError, ConvertError, UnsupportedError
 from ..operators.transform import TransformPlan
 from ..options import ConverterConfig, CsvOptions
 from ..scratch import scratch_path
 from ..sources import readers, sinks
+from ..sources.detect import detect_structure, read_sample
 
 
 def read_stream(spark: SparkSession, path: str, fmt: str, schema: T.StructType, csv: CsvOptions = CsvOptions(), files_per_batch: int | None = None) -> DataFrame:
@@ -123,3 +125,16 @@ class StreamJob:
             self.query.stop()
         self.aborted = True
         self.spark.streams.removeListener(self.listener)
+
+
+def convert_stream(spark: SparkSession, source: str, target: str, output: str, input: str = "auto", schema: T.StructType | None = None, progress: Callable[[dict], None] | None = None, **options) -> StreamJob:
+    """A started job that converts the files of a folder, and those that arrive later if resumed. Format and schema are by default those of the files that are there; options as for ConverterConfig."""
+    config = ConverterConfig(input=input, output=output, **options)
+    if config.input == "auto":
+        found = detect_structure(read_sample(spark, source))
+        if found is None:
+            raise ConfigError(f"the format of {source} is unknown")
+        config = replace(config, input=found.format)
+    if schema is None:
+        schema = readers.read(spark, source, config.input, config.csv, config.xml).schema
+    return StreamJob(spark, config, source, target, schema, progress).start()

@@ -11,7 +11,7 @@ from recordloom.options import CsvOptions, XmlOptions
 from recordloom.operators.flatten import flatten
 from recordloom.plans.converter import Converter, auto_config, convert, convert_file, extension, mime_type, suggested_filename
 from recordloom.sources import readers, sinks
-from recordloom.streaming.jobs import StreamJob
+from recordloom.streaming.jobs import StreamJob, convert_stream
 from recordloom.options import ConverterConfig
 
 
@@ -303,6 +303,20 @@ def test_stream_equals_batch(spark, tmp_path, output):
         job.start()
 
 
+def test_convert_stream_finds_format_and_schema(spark, tmp_path):
+    source, target = tmp_path / "in", str(tmp_path / "out")
+    source.mkdir()
+    put(source, "ship;tons\nDara;80\nHeron;15\n", "1.csv")
+    job = convert_stream(spark, str(source), target, "ndjson", csv=CsvOptions(delimiter=";"))
+    job.wait()
+    job.abort()
+    assert sorted(r["value"] for r in spark.read.text(target).collect()) == ['{"ship":"Dara","tons":"80"}', '{"ship":"Heron","tons":"15"}']
+    (tmp_path / "none").mkdir()
+    put(tmp_path / "none", "words only")
+    with pytest.raises(ConfigError):
+        convert_stream(spark, str(tmp_path / "none"), target, "json")
+
+
 def test_xml_schema_is_that_of_all_records(spark, tmp_path):
     source = tmp_path / "folder"
     source.mkdir()
