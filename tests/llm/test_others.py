@@ -1,6 +1,7 @@
 import gzip
 import hashlib
 import io
+import math
 import random
 import re
 
@@ -10,8 +11,9 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__
-from recordloom.llm import bpe, decontaminate, exact_dedup, html_extract, language_id, pii, quality, warc
-from recordloom.llm.shared import OWN, new_path
+from recordloom.llm import bpe, decontaminate, exact_dedup, html_extract, language_id, minhash, pii, quality, substring_dedup, warc
+from recordloom.llm.shared import OWN, new_path, summed
+from recordloom.llm.textkit import chunks
 
 tiktoken = pytest.importorskip("tiktoken")
 
@@ -86,8 +88,10 @@ def reference(codec, pattern):
     return tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=codec.ranks, special_tokens={})
 
 
-def test_bpe_is_exact(vocabulary):
-    c, rng = bpe.Codec(*vocabulary), random.Random(1)
+@pytest.mark.parametrize("least", [1, 64])
+def test_bpe_is_exact(vocabulary, monkeypatch, least):
+    monkeypatch.setattr(bpe, "LEAST_AT_ONCE", least)
+    c, rng = bpe.Codec(bpe.read_vocabulary(vocabulary[0]), vocabulary[1]), random.Random(1)
     parts = ["a", "ab", "é", " ", "  ", "1", "²", "𝐀", "一", "the", "\n", "'s", "'ll", "\x1c", "\x85", "!", "aaaaaa", "\0", "😀", "́", "_", "<|endoftext|>"]
     texts = ["".join(rng.choice(parts) for _ in range(rng.randrange(50))) for _ in range(1500)] + ["a" * 5000, "ab" * 3000, "".join(rng.choice("abcd") for _ in range(9000))]
     e = reference(c, vocabulary[1])
@@ -97,8 +101,22 @@ def test_bpe_is_exact(vocabulary):
         assert c.decode(ids) == text.encode()
 
 
-def test_bpe_with_ranks_in_any_order():
+def test_bpe_forgets_within_bounds(vocabulary, monkeypatch):
+    texts = ["one two " * k + "three\n\nfour" for k in range(12)] + ["x" * 3000, "", "two one"]
+    table_ = bpe.read_vocabulary(vocabulary[0])
+    e = reference(bpe.Codec(table_, vocabulary[1]), vocabulary[1])
+    want = [e.encode_ordinary(t) for t in texts]
+    for most, chars in ((3, 1 << 20), (1000, 40)):
+        monkeypatch.setattr(bpe, "CACHE", most)
+        monkeypatch.setattr(bpe, "CACHE_CHARS", chars)
+        c = bpe.Codec(table_, vocabulary[1])
+        assert [c.encode(t) for t in texts + texts] == want + want
+
+
+@pytest.mark.parametrize("least", [1, 3, 64])
+def test_bpe_with_ranks_in_any_order(monkeypatch, least):
     """Vocabularies in which merging makes pairs of lower rank."""
+    monkeypatch.setattr(bpe, "LEAST_AT_ONCE", least)
     rng = random.Random(2)
     for _ in range(60):
         extra = list({bytes(rng.choice(b"abc") for _ in range(rng.randrange(2, 6))) for _ in range(30)})
@@ -113,7 +131,7 @@ def test_bpe_with_ranks_in_any_order():
 
 def test_bpe_frames(docs_of, vocabulary):
     texts = [None, "", "Hello world", "tab\tand  spaces ", "x" * 3000]
-    c = bpe.Codec(*vocabulary)
+    c = bpe.Codec(bpe.read_vocabulary(vocabulary[0]), vocabulary[1])
     got = {r["doc_id"]: r for r in bpe.digests(docs_of(texts, extra=True), *vocabulary, with_ids=True).collect()}
     for i, t in enumerate(texts):
         ids = reference(c, vocabulary[1]).encode_ordinary(t or "")
@@ -203,11 +221,90 @@ def test_language_id(spark):
     assert {r[language_id.LANG] for r in language_id.predict(df, nothing).collect()} == {"und"}
 
 
+def test_language_id_against_brute_force(spark):
+    """Counts, log-probabilities and posteriors by plain loops; equal texts get equal rows, and a tie the first language."""
+    rng = random.Random(3)
+    texts = ["".join(rng.choice("abcdeé ") for _ in range(rng.randrange(0, 60))) for _ in range(120)]
+    rows = [(i, t, "pqr"[i % 3]) for i, t in enumerate(texts)] + [(200, texts[0], None), (201, texts[0], None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(5)
+    orders, buckets = (1, 2), 64
+    model = language_id.fit(df, buckets=buckets, orders=orders)
+
+    def keys(text, order):
+        return language_id.ngrams(*language_id.code_points(next(iter(chunks(pa.array([text]))))), order, buckets)[0].tolist()
+
+    counts = {lang: [[0.5] * buckets for _ in orders] for lang in "pqr"}
+    for _, t, lang in rows:
+        for k, order in enumerate(orders):
+            for key in keys(t, order) if lang else ():
+                counts[lang][k][key] += 1
+    got = {r["doc_id"]: r for r in language_id.predict(df, model).collect()}
+    for i, t, _ in rows:
+        logs = [math.log(40 / 120) + sum(math.log(counts[lang][k][key] / sum(counts[lang][k])) for k, order in enumerate(orders) for key in keys(t, order)) for lang in "pqr"]
+        best = max(logs)
+        if any(c.isalpha() for c in t):
+            assert got[i][language_id.LANG] == "pqr"[logs.index(best)]
+            assert abs(got[i][language_id.SCORE] - 1 / sum(math.exp(x - best) for x in logs)) < 1e-9
+        else:
+            assert got[i][language_id.LANG] == "und"
+    assert got[200][2:] == got[201][2:]
+    same = language_id.fit(spark.createDataFrame([(1, "ab", "q"), (2, "ab", "p")], "doc_id long, text string, lang string"))
+    assert language_id.predict(df.limit(1).selectExpr("doc_id", "'ab' as text"), same).first()[language_id.LANG] == "p"
+
+
+def test_sums_of_very_many_tasks(spark):
+    """Three steps give the sum of all tasks, whatever their number and width."""
+    rows = [("a" if k % 3 else "b", k, w, np.array([k, -k * 1000, 1], f"i{w}").tobytes()) for k in range(400) for w in ((4, 8) if k % 2 else (8,))]
+    got = {r["key"]: np.frombuffer(r["sums"], f"i{r['width']}").tolist() for r in summed(spark.createDataFrame(rows, "key string, task int, width int, sums binary"), ["key"]).collect()}
+    for key in "ab":
+        own = [k for name, k, _, _ in rows if name == key]
+        assert got[key] == [sum(own), -1000 * sum(own), len(own)]
+
+
+def test_word_vectors_against_brute_force(spark):
+    rng = random.Random(4)
+    texts = [" ".join(rng.choice(["one", "two", "thrée", "##", "x9"]) for _ in range(rng.randrange(0, 30))) for _ in range(50)] + [None, "", "one"]
+    for n, d in ((64, 8), (256, 16)):
+        place, sign = quality.index_vectors(n, d, quality.NONZEROS)
+        want = np.zeros((n, d))
+        for t in texts:
+            own = quality.word_buckets(next(iter(chunks(pa.array([t], pa.string())))), n)[0].tolist()
+            for i in range(len(own)):
+                for j in range(max(0, i - quality.REACH), min(len(own), i + quality.REACH + 1)):
+                    for k in range(quality.NONZEROS) if i != j else ():
+                        want[own[i], place[own[j], k]] += sign[own[j], k]
+        length = np.sqrt((want**2).sum(1, keepdims=True))
+        got = quality.word_vectors(spark.createDataFrame([(t,) for t in texts], "text string").repartition(3), buckets=n, dimensions=d)
+        assert np.allclose(got, want / np.where(length > 0, length, 1), atol=1e-6)
+
+
+def test_very_long_texts(spark, docs_of):
+    """Texts of a few megabytes, longer than any chunk, beside short ones."""
+    rng = random.Random(9)
+    words_ = ["".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(5000)]
+    long = [rng.choice(words_) for _ in range(350_000)]
+    near = [*long[:-50], *("changed" for _ in range(50))]
+    passage = " ".join(long[200_000:200_040])
+    docs = docs_of([" ".join(long), " ".join(near), passage, "short", None], extra=True)
+    got = {r["node"]: r["component"] for r in minhash.near_dedup(docs).collect()}
+    assert [got[i] for i in range(5)] == [0, 0, 2, 3, 4]
+    got = {r["doc_id"]: r for r in substring_dedup.substring_dedup(docs).collect()}
+    assert [got[i][substring_dedup.N_REMOVED] for i in range(5)] == [0, 350_000 - 50, 40, 0, 0]
+    bench = spark.createDataFrame([(1, passage)], "item_id long, text string")
+    got = {r["doc_id"]: r for r in decontaminate.find(docs, bench).collect()}
+    assert [got[i][decontaminate.LONGEST] for i in range(5)] == [40, 40, 40, 0, 0] and got[0][decontaminate.SPANS] == [(200_000, 200_039)]
+    model = language_id.fit(docs.selectExpr("*", "if(doc_id = 0, 'p', 'q') as lang"))
+    got = {r["doc_id"]: r[language_id.LANG] for r in language_id.predict(docs, model).collect()}
+    assert got[0] == "p" and got[4] == "und"
+    scores = {r["doc_id"]: r[quality.SCORE] for r in quality.score(docs, quality.fit(docs, spark.createDataFrame([(0, 1), (3, 0)], "doc_id long, quality int"))).collect()}
+    assert len(scores) == 5 and all(0 <= x <= 1 for x in scores.values())
+    kept = exact_dedup.keep_first(docs.unionByName(docs.selectExpr("doc_id + 10 as doc_id", "text", "score", "n_words", "kept", "node")))
+    assert sorted(r["doc_id"] for r in kept.collect()) == [0, 1, 2, 3, 4]
+
+
 def test_ngrams_stay_inside_rows():
     for texts in (["ab", "", "c", "def"], ["", ""], ["x"], ["漢字", "é"]):
         for order in (1, 2, 3):
-            from recordloom.llm.textkit import chunks
-
             for chunk in chunks(pa.array(texts)):
                 points, offsets = language_id.code_points(chunk)
                 key, first = language_id.ngrams(points, offsets, order, 1 << 15)
