@@ -175,18 +175,20 @@ def csv_exact_dialect(spark, sf_dir):
     return readers.read_csv(spark, path, options, ["conv_id", "role", "text"])
 
 
-def _text_file(spark, lines: DataFrame, name: str) -> str:
-    """One file of the lines (a column `value`), in order of `at`."""
-    path = scratch_path(spark, name)
-    lines.coalesce(1).sortWithinPartitions("at").select("value").write.text(path)
-    return path
+#: Rows of a table in one text file at most, about; what one task sorts.
+_FILE_ROWS = 1_000_000
 
 
-def _with_late(spark, sf_dir, plain, late: list[str], first: str) -> DataFrame:
-    """`at` and value: a first line, a line for each row of lineitem, and late lines."""
+def _text_files(spark, sf_dir, plain, late: list[str], name: str, first: str, last: str = "") -> str:
+    """Files of a line for each row of lineitem, in order over all of them, and late lines behind them in the last; each begins with first and ends with last."""
     key = F.col("l_orderkey") * 10 + F.col("l_linenumber")
-    lines = table(spark, sf_dir, "lineitem").select(key.alias("at"), plain.alias("value"))
-    return lines.unionByName(spark.createDataFrame([(-1, first), *(((1 << 40) + k, x) for k, x in enumerate(late))], "at long, value string"))
+    rows = table(spark, sf_dir, "lineitem")
+    # the late lines are one row, so that no file can end between them
+    lines = rows.select(key.alias("at"), plain.alias("value")).unionByName(spark.createDataFrame([(1 << 40, "\n".join(late))], "at long, value string"))
+    path = scratch_path(spark, name)
+    files = lines.repartitionByRange(1 + rows.count() // _FILE_ROWS, "at").sortWithinPartitions("at")
+    sinks.enclosed(files.select("value"), f"{first}\n", "", last).write.text(path)
+    return path
 
 
 @query(
@@ -196,7 +198,7 @@ def _with_late(spark, sf_dir, plain, late: list[str], first: str) -> DataFrame:
 def csv_ragged_late(spark, sf_dir):
     """Rows with more and fewer fields, an escape and a quoted newline, behind all plain ones."""
     plain = F.concat("l_orderkey", F.lit(","), "l_linenumber")
-    path = _text_file(spark, _with_late(spark, sf_dir, plain, ["7,8,9", "x", 'y,"say \\"so\\", ', 'twice"'], "a,b"), "csv")
+    path = _text_files(spark, sf_dir, plain, ["7,8,9", "x", 'y,"say \\"so\\", ', 'twice"'], "csv", "a,b")
     return readers.read_csv(spark, path, CsvOptions(delimiter=","))
 
 
@@ -215,7 +217,7 @@ def csv_empty_fields(spark, sf_dir):
 def csv_header_like_row(spark, sf_dir):
     """Only a file's first record is its header; rows like it are data."""
     plain = F.concat("l_orderkey", F.lit(","), "l_linenumber")
-    path = _text_file(spark, _with_late(spark, sf_dir, plain, ["a,b", "a,b", "4,5\\"], "a,b"), "csv")
+    path = _text_files(spark, sf_dir, plain, ["a,b", "a,b", "4,5\\"], "csv", "a,b")
     return readers.read_csv(spark, path, CsvOptions(delimiter=","))
 
 
@@ -225,9 +227,10 @@ def csv_header_like_row(spark, sf_dir):
 )
 def xml_late_element(spark, sf_dir):
     """An element, a repetition and an attribute that occur behind all plain records."""
-    late = ["<row><a>1</a><late>x &amp; y</late><a>2</a></row>", '<row n="9"/>', "</all>"]
-    lines = _with_late(spark, sf_dir, F.concat(F.lit("<row><a>"), "l_orderkey", F.lit("</a></row>")), late, "<all>")
-    got = readers.read_xml(spark, _text_file(spark, lines, "xml"), XmlOptions(record="row"))
+    late = ["<row><a>1</a><late>x &amp; y</late><a>2</a></row>", '<row n="9"/>']
+    plain = F.concat(F.lit("<row><a>"), "l_orderkey", F.lit("</a></row>"))
+    path = _text_files(spark, sf_dir, plain, late, "xml", "<all>", "</all>")
+    got = readers.read_xml(spark, path, XmlOptions(record="row"))
     return got.select(F.when(F.size("a") > 0, F.array_join("a", "|")).alias("a"), "late", "`@n`")
 
 

@@ -33,3 +33,17 @@ def test_query_equals_sql(spark, name):
 
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no tables")
+@pytest.mark.parametrize("name", ["xml_late_element"])
+def test_no_task_sorts_or_writes_a_whole_table(spark, monkeypatch, name):
+    from recordloom.plans import queries
+
+    monkeypatch.setattr(queries, "_FILE_ROWS", 1000)
+    got = entry.queries()[name](spark, SF)
+    files = sorted(got.inputFiles())
+    texts = [spark.read.text(f, wholetext=True).first()[0] for f in files]
+    assert len(files) == 7 and max(t.count("\n") for t in texts) < 2000
+    assert [("x &amp; y" in t or "5\\" in t) for t in texts] == [False] * 6 + [True]
+    assert got.count() == spark.read.parquet(f"{SF}/lineitem.parquet").count() + (2 if name == "xml_late_element" else 3)
