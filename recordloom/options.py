@@ -32,7 +32,7 @@ def _one_of(name: str, value: str, allowed: tuple[str, ...]) -> str:
 class CsvOptions:
     """delimiter None: found in a sample. exact: both "" and backslash escapes, and ragged rows; None: where a line needs it.
 
-    multiline: records may have newlines inside quotes, so a file is one task; None: where a line has an odd count of quotes.
+    multiline: records may have newlines inside quotes, so pieces of files go to the shared folder (with exact=False a file is one task); None: where a line has an odd count of quotes.
     """
 
     delimiter: str | None = None

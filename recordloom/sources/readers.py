@@ -9,18 +9,21 @@ from collections.abc import Iterable, Iterator
 from xml.parsers import expat
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..errors import ConfigError, CsvParseError, EncodingError, JsonParseError, XmlParseError, failure
 from ..options import CsvOptions, XmlOptions, format_name
+from ..scratch import scratch_path
 from .detect import decoded, detect_delimiter, detect_structure, read_sample, xml_elements
 
 #: Escapes inside quotes and in XML texts; how a line that may be JSON begins; the byte-order mark.
 ESCAPES = {"n": "\n", "r": "\r", "t": "\t", "\\": "\\"}
 JSON_START = r'^\s*[{\["tfn\-0-9]'
 BOM = "\ufeff"
+#: Characters of CSV text that are searched for records at once, about.
+PIECE = 1 << 18
 #: The name of the text of an element that has only text in some records and elements in others.
 VALUE = "#text"
 
@@ -39,12 +42,19 @@ def text_lines(spark: SparkSession, path: str) -> DataFrame:
 # CSV
 
 
+@functools.cache
+def _record_patterns(quote: str) -> tuple[re.Pattern, re.Pattern]:
+    """A record with its end, and the rest of a quoted part."""
+    q = re.escape(quote)
+    rest = rf"(?:[^{q}\\]++|\\.)*+{q}"
+    return re.compile(rf"(?:[^{q}\r\n]++|{q}{rest})*+(\r\n|\r|\n|\Z)", re.S), re.compile(rest, re.S)
+
+
 def csv_records(text: str, quote: str) -> list[str]:
     """Records of a whole text: they end at newlines outside quotes. An open quote at the end is an error."""
     if quote not in text:
         return text.replace("\r\n", "\n").replace("\r", "\n").split("\n")
-    q = re.escape(quote)
-    record = re.compile(rf"(?:[^{q}\r\n]++|{q}(?:[^{q}\\]++|\\.)*+{q})*+(\r\n|\r|\n|\Z)", re.S)
+    record, _ = _record_patterns(quote)
     out, at = [], 0
     while m := record.match(text, at):
         out.append(text[at : m.start(1)])
@@ -54,6 +64,42 @@ def csv_records(text: str, quote: str) -> list[str]:
     raise CsvParseError("a quote is not closed")
 
 
+def ends_inside(text: str, quote: str, inside: bool) -> bool:
+    """Whether a text ends inside quotes, if it begins inside (or outside) of them."""
+    if "\\" not in text:
+        return inside ^ (text.count(quote) % 2 == 1)
+    _, rest = _record_patterns(quote)
+    at = 0
+    while True:
+        if not inside:
+            at = text.find(quote, at) + 1
+            if not at:
+                return False
+        m = rest.match(text, at)
+        if not m:
+            return True
+        inside, at = False, m.end()
+
+
+def piece_records(text: str, quote: str, inside: bool) -> tuple[int, list[str], int]:
+    """Of lines that begin inside (or outside) of quotes: where the record that is open before them ends (-1: behind them), the whole records, where one begins that is open behind them (the length: none)."""
+    record, rest = _record_patterns(quote)
+    begin = 0
+    if inside:
+        m = rest.match(text)
+        m = m and record.match(text, m.end())
+        if not m:
+            return -1, [], len(text)
+        begin = m.end()
+    if quote not in text[begin:]:
+        return begin, csv_records(text[begin:], quote)[:-1], len(text)
+    out, at = [], begin
+    while at < len(text) and (m := record.match(text, at)):
+        out.append(text[at : m.start(1)])
+        at = m.end()
+    return begin, out, at
+
+
 @functools.cache
 def _csv_patterns(delimiter: str, quote: str) -> tuple[re.Pattern, re.Pattern, re.Pattern]:
     """A field with its end, a quoted part of it, and what stands for something else inside such a part."""
@@ -78,33 +124,145 @@ def csv_fields(record: str, delimiter: str, quote: str, trim: bool) -> list[str]
     return [x.strip(" \t") for x in out] if trim else out
 
 
-def _exact_rows(texts: DataFrame, options: CsvOptions, delimiter: str, whole: bool, header: list[str] | None) -> DataFrame:
-    """A column `fields` of every non-blank record of the texts (value, file and block, where the text's split begins); whole: a text may have many records.
-
-    header: the first record of every file has these fields and is left out.
-    """
+def _line_rows(lines: DataFrame, options: CsvOptions, delimiter: str, header: list[str] | None) -> DataFrame:
+    """A column `fields` of every line (a column value) that is not blank. header: the first record of every file has these fields and is left out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         begun = None
         for batch in batches:
             rows = []
             for text, file, block in zip(*(c.to_pylist() for c in batch.columns)):
-                for record in csv_records(text or "", options.quote) if whole else [(text or "").rstrip("\r")]:
+                record = (text or "").rstrip("\r")
+                if record.strip():
+                    fields = csv_fields(record.removeprefix(BOM), delimiter, options.quote, options.trim)
+                    if header is not None and block == 0 and file != begun:
+                        begun = file
+                        _same_header(fields, header, file)
+                    else:
+                        rows.append(fields)
+            yield pa.RecordBatch.from_arrays([pa.array(rows, pa.list_(pa.string()))], names=["fields"])
+
+    rows = lines.select(utf8(F.col("value")).alias("value"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"))
+    return rows.mapInArrow(run, "fields array<string>")
+
+
+def _same_header(fields: list[str], header: list[str], file: str) -> None:
+    if fields != header:
+        raise CsvParseError(f"{file} has another header than the first file: {fields}")
+
+
+def _csv_pieces(spark: SparkSession, path: str, quote: str) -> DataFrame:
+    """Files in pieces of whole lines: file, block (where the split of the file begins) and piece (its number there) give their order.
+
+    text ends with a newline; blank: it has nothing else. outside and within:
+    whether it ends inside quotes if it begins outside or inside of them;
+    ends: whether a record that is open before it ends in it. The pieces are
+    written to the shared folder, as another scan may split files elsewhere.
+    """
+    names = ["file", "block", "piece", "text", "blank", "outside", "within", "ends"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def piece() -> pa.RecordBatch:
+            text = "\n".join(lines) + "\n"
+            ends = piece_records(text, quote, True)[0] >= 0 if quote in text else False
+            row = (*begun, number, text, not text.strip(), ends_inside(text, quote, False), ends_inside(text, quote, True), ends)
+            return pa.RecordBatch.from_pydict({n: [x] for n, x in zip(names, row)})
+
+        begun, number, lines, size = None, 0, [], 0
+        for batch in batches:
+            for text, file, block in zip(*(c.to_pylist() for c in batch.columns)):
+                if begun != (file, block) or size > PIECE:
+                    if lines:
+                        yield piece()
+                    number = number + 1 if begun == (file, block) else 0
+                    begun, lines, size = (file, block), [], 0
+                lines.append(text)
+                size += len(text) + 1
+        if lines:
+            yield piece()
+
+    lines = spark.read.option("lineSep", "\n").text(path)
+    lines = lines.select(utf8(F.col("value")).alias("value"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"))
+    kept = scratch_path(spark, "pieces")
+    lines.mapInArrow(run, "file string, block long, piece long, text string, blank boolean, outside boolean, within boolean, ends boolean").write.parquet(kept)
+    return spark.read.parquet(kept)
+
+
+def _placed(pieces: DataFrame) -> DataFrame:
+    """The pieces with what those before them tell: inside and open, whether they begin and end inside quotes; owner, where the record that is open before them begins; heads, whether they have the header, the first record of a file.
+
+    A window over a few values a piece; an open quote at the end of a file is an error.
+    """
+    order = Window.partitionBy("file").orderBy("block", "piece")
+    before = order.rowsBetween(Window.unboundedPreceding, -1)
+    place = F.struct("block", "piece")
+    # a piece keeps the state, turns it or sets it; between two that set it only the number of turns counts
+    sets, turn = F.col("outside") == F.col("within"), (F.col("outside") & ~F.col("within")).cast("long")
+    found = pieces.drop("text").withColumn("turns", F.sum(turn).over(order))
+    found = found.withColumn("set", F.last(F.when(sets, F.struct("outside", "turns")), ignorenulls=True).over(before)).withColumn("turned", F.coalesce(F.lag("turns").over(order), F.lit(0)))
+    turns = F.coalesce(F.col("set.outside").cast("long"), F.lit(0)) + F.col("turned") - F.coalesce(F.col("set.turns"), F.lit(0))
+    found = found.withColumn("inside", turns % 2 == 1).withColumn("open", F.when(F.col("inside"), F.col("within")).otherwise(F.col("outside")))
+    found = found.withColumn("owner", F.last(F.when(~F.col("inside") | F.col("ends"), place), ignorenulls=True).over(before))
+    found = found.withColumn("heads", ~F.col("blank") & F.coalesce(F.min(F.col("blank")).over(before), F.lit(True))).withColumn("last", F.lead("piece").over(order).isNull())
+    unclosed = F.when(F.col("last") & F.col("open"), failure(CsvParseError, "a quote is not closed").cast("boolean")).otherwise(F.col("open"))
+    # those that begin and end outside are as they seem, and needn't be looked up
+    seen = found.select("file", "block", "piece", "inside", unclosed.alias("open"), "owner", "heads").filter("inside or open or heads")
+    no = F.lit(False)
+    rows = pieces.select("file", "block", "piece", "text").join(F.broadcast(seen), ["file", "block", "piece"], "left")
+    return rows.select("file", "text", place.alias("place"), *(F.coalesce(F.col(c), no).alias(c) for c in ("inside", "open", "heads")), "owner")
+
+
+def _piece_rows(pieces: DataFrame, options: CsvOptions, delimiter: str, header: list[str] | None) -> DataFrame:
+    """A column `fields` of every record that is not blank, of pieces of files, with newlines inside quotes; a record that goes on from piece to piece is put together."""
+    quote = options.quote
+
+    def fields_of(record: str, file: str, heads: bool) -> list[str] | None:
+        fields = csv_fields(record.removeprefix(BOM), delimiter, quote, options.trim)
+        if header is None or not heads:
+            return fields
+        _same_header(fields, header, file)
+        return None
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for file, text, inside, heads in zip(*(c.to_pylist() for c in batch.columns)):
+                for record in piece_records(text, quote, inside)[1]:
                     if record.strip():
-                        fields = csv_fields(record.removeprefix(BOM), delimiter, options.quote, options.trim)
-                        if header is not None and block == 0 and file != begun:
-                            begun = file
-                            if fields != header:
-                                raise CsvParseError(f"{file} has another header than the first file: {fields}")
-                        else:
+                        if (fields := fields_of(record, file, heads)) is not None:
                             rows.append(fields)
+                        heads = False
                     if len(rows) >= 10_000:
                         yield pa.RecordBatch.from_arrays([pa.array(rows, pa.list_(pa.string()))], names=["fields"])
                         rows = []
             yield pa.RecordBatch.from_arrays([pa.array(rows, pa.list_(pa.string()))], names=["fields"])
 
-    rows = texts.select(utf8(F.col("value")).alias("value"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"))
-    return rows.mapInArrow(run, "fields array<string>")
+    place = pa.struct([("block", pa.int64()), ("piece", pa.int64())])
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for file, text, at, owner, inside, heads in zip(*(c.to_pylist() for c in batch.columns)):
+                end, records, begin = piece_records(text, quote, inside)
+                if inside:
+                    rows.append((file, owner, at, text if end < 0 else text[:end], False))
+                if begin < len(text):
+                    rows.append((file, at, at, text[begin:], heads and not any(r.strip() for r in records)))
+            columns = [pa.array(c, t) for c, t in zip(zip(*rows) if rows else [()] * 5, (pa.string(), place, place, pa.string(), pa.bool_()))]
+            yield pa.RecordBatch.from_arrays(columns, names=["file", "owner", "at", "text", "heads"])
+
+    def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = (fields_of(csv_records(text, quote)[0], file, heads) for file, text, heads in zip(*(c.to_pylist() for c in batch.columns)))
+            yield pa.RecordBatch.from_arrays([pa.array([x for x in found if x is not None], pa.list_(pa.string()))], names=["fields"])
+
+    placed = _placed(pieces)
+    at = "struct<block: long, piece: long>"
+    cuts = placed.filter("inside or open").select("file", "text", "place", "owner", "inside", "heads").mapInArrow(cut, f"file string, owner {at}, at {at}, text string, heads boolean")
+    texts = F.transform(F.array_sort(F.collect_list(F.struct("at", "text"))), lambda x: x["text"])
+    cuts = cuts.groupBy("file", "owner").agg(F.array_join(texts, "").alias("text"), F.max("heads").alias("heads"))
+    rows = placed.select("file", "text", "inside", "heads").mapInArrow(whole, "fields array<string>")
+    return rows.unionByName(cuts.select("file", "text", "heads").mapInArrow(joined, "fields array<string>"))
 
 
 def _last_of_each(names: list[str]) -> dict[str, int]:
@@ -134,8 +292,9 @@ def read_csv(spark: SparkSession, path: str, options: CsvOptions = CsvOptions(),
     header, Spark's own source reads, in splits. Where one has more or less
     (see csv_traits), every record is parsed with both ways of escaping, and
     widths are found by one aggregate; where one has an odd count of quotes,
-    records may have newlines and a file is one task. The sample tells only
-    the delimiter and header; a file with another header is an error.
+    records may have newlines, and files are read in pieces for which a window
+    tells whether they begin inside quotes. The sample tells only the
+    delimiter and header; a file with another header is an error.
     """
     text = decoded(read_sample(spark, path))
     delimiter = options.delimiter or detect_delimiter(text)
@@ -158,7 +317,8 @@ def read_csv(spark: SparkSession, path: str, options: CsvOptions = CsvOptions(),
         rows = reader.option("emptyValue", "").option("enforceSchema", names is not None).option("mode", "FAILFAST").csv(path)
         # every row has all fields, so what Spark takes for null is an empty one
         return rows.select(*(F.coalesce(F.col("`" + n.replace("`", "``") + "`"), F.lit("")).alias(n) for n in header))
-    rows = _exact_rows(spark.read.text(path, wholetext=multiline), options, delimiter, multiline, first if options.headers else None)
+    expected = first if options.headers else None
+    rows = _piece_rows(_csv_pieces(spark, path, options.quote), options, delimiter, expected) if multiline else _line_rows(spark.read.text(path), options, delimiter, expected)
     widest = max(rows.agg(F.max(F.size("fields")).alias("n")).first()["n"] or 0, len(header))
     names = header + [f"field_{i}" for i in range(len(header), widest)]
     return rows.select(*(F.try_element_at("fields", F.lit(i + 1)).alias(n) for n, i in _last_of_each(names).items()))

@@ -60,6 +60,41 @@ def test_csv_options(spark, tmp_path):
     assert both[0] == both[1] == [{"a": "x, 1", "b": "2"}, {"a": "", "b": 'q"r'}]
 
 
+@pytest.mark.parametrize("piece", [0, 7, 60, 1 << 18])
+def test_csv_records_go_on_from_piece_to_piece(spark, tmp_path, monkeypatch, piece):
+    monkeypatch.setattr(readers, "PIECE", piece)
+    rng = random.Random(piece)
+    source = tmp_path / "folder"
+    source.mkdir()
+    want, tokens = [], ["a", ",", '"', "\\", "\n", "\r", "\r\n", "ü", '"\n"', ",\n", "\\\n"]
+    for name in "12345":
+        text = "".join(rng.choice(tokens) for _ in range(400))
+        if readers.ends_inside(text, '"', False):
+            text += 'x"'
+        text = ("﻿" if name == "2" else "") + "\n \n" * (name > "2") + '"k\n1",b\n' + text + rng.choice(["", "\n"])
+        assert not readers.ends_inside(text, '"', False)
+        put(source, text, name)
+        want += [readers.csv_fields(r.removeprefix("﻿"), ",", '"', False) for r in readers.csv_records(text, '"') if r.strip()][1:]
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "397")
+    spark.conf.set("spark.sql.files.openCostInBytes", "1")
+    try:
+        pieces = readers._csv_pieces(spark, str(source), '"')
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    assert pieces.filter("block > 0").count() > 0
+    have = [r["fields"] for r in readers._piece_rows(pieces, CsvOptions(), ",", ["k\n1", "b"]).collect()]
+    assert sorted(have) == sorted(want)
+
+
+def test_csv_with_newlines_in_quotes_is_not_read_as_whole_files(spark, tmp_path):
+    got = readers.read_csv(spark, put(tmp_path, 'a,b\n"x\ny",1\n' * 3))
+    assert "wholetext" not in got._jdf.queryExecution().toString().lower()
+    assert [f.rsplit("/", 1)[-1][:5] for f in got.inputFiles()] == ["part-"] and got.count() == 5
+    with pytest.raises(CsvParseError, match="not closed"):
+        convert(spark, 'a,b\n1,2\n"x\n', "ndjson", input="csv")
+
+
 @pytest.mark.parametrize("exact", [False, True])
 def test_csv_files_must_have_one_header(spark, tmp_path, exact):
     source = tmp_path / "folder"
