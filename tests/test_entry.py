@@ -36,7 +36,7 @@ def test_entry(spark):
 
 
 @pytest.mark.skipif(not os.path.isdir(SF), reason="no tables")
-@pytest.mark.parametrize("name", ["xml_late_element"])
+@pytest.mark.parametrize("name", ["xml_late_element", "csv_header_like_row"])
 def test_no_task_sorts_or_writes_a_whole_table(spark, monkeypatch, name):
     from recordloom.plans import queries
 
