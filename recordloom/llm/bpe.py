@@ -359,19 +359,20 @@ def digests(docs: DataFrame, path: str, pattern: str, text: str = "text", doc_id
         c = codec(held.value, pattern)
         sha = hashlib.sha256
         for batch in batches:
-            counts, ids_sha, decoded_sha, all_ids = [], [], [], []
+            # a batch of results for each part, so that neither side holds the ids of a whole batch of texts
             for chunk in chunks(batch.column(1), PART_BYTES):
+                counts, ids_sha, decoded_sha, all_ids = [], [], [], []
                 for ids, count, decoded in c.encoded([chunk.text(i).decode() for i in range(chunk.hi - chunk.lo)]):
                     counts.append(count)
                     if with_ids:
                         all_ids.append(pa.array(ids.split(",") if ids else [], pa.string()).cast(pa.int32()))
                     ids_sha.append(sha(ids.encode()).hexdigest())
                     decoded_sha.append(sha(decoded).hexdigest())
-            columns = [batch.column(0), pa.array(counts, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(decoded_sha, pa.string())]
-            if with_ids:
-                offsets = pa.array([0, *itertools.accumulate(counts)], pa.int32())
-                columns.append(pa.ListArray.from_arrays(offsets, pa.concat_arrays([pa.array([], pa.int32()), *all_ids])))
-            yield pa.RecordBatch.from_arrays(columns, names=names)
+                columns = [batch.column(0).slice(chunk.lo, len(counts)), pa.array(counts, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(decoded_sha, pa.string())]
+                if with_ids:
+                    offsets = pa.array([0, *itertools.accumulate(counts)], pa.int32())
+                    columns.append(pa.ListArray.from_arrays(offsets, pa.concat_arrays([pa.array([], pa.int32()), *all_ids])))
+                yield pa.RecordBatch.from_arrays(columns, names=names)
         c.forget()
 
     shape = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids

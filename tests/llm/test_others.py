@@ -143,6 +143,22 @@ def test_bpe_frames(docs_of, vocabulary):
     assert bpe.digests(docs_of([]), *vocabulary).count() == 0
 
 
+def test_bpe_gives_results_in_parts(docs_of, vocabulary, monkeypatch):
+    """What a worker returns at once is bounded by a part of the texts, not by the batch that it gets."""
+    texts = ["", None, *("word " * (k + 1) for k in range(200)), "x" * 5000, ""]
+    docs, got = docs_of(texts), []
+    monkeypatch.setattr(type(docs), "mapInArrow", lambda self, run, schema: got.append(run))
+    monkeypatch.setattr(bpe, "PART_BYTES", 2000)
+    bpe.digests(docs, *vocabulary, with_ids=True)
+    batch = pa.RecordBatch.from_pydict({"doc_id": pa.array(range(len(texts))), "text": pa.array(texts, pa.string())})
+    parts = list(got[0](iter([batch, batch.slice(0, 0), batch.slice(150, 20)])))
+    assert max(sum(len((texts[i] or "").encode()) for i in p["doc_id"].to_pylist()) for p in parts if len(p) > 1) <= 2000
+    rows = [r for p in parts for r in p.to_pylist()]
+    assert [r["doc_id"] for r in rows] == [*range(len(texts)), *range(150, 170)]
+    c = bpe.Codec(bpe.read_vocabulary(vocabulary[0]), vocabulary[1])
+    assert all(r["ids"] == c.encode(texts[r["doc_id"]] or "") and r["n_tokens"] == len(r["ids"]) for r in rows)
+
+
 # decontamination
 
 
